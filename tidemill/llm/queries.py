@@ -15,18 +15,48 @@ def bpe_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_spotsigs_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemill.llm.fingerprints import compare_with_next
+
+    return compare_with_next(table(spark, sf_dir, "documents"))
+
+
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemill.llm.quality import quality
+
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemill.llm.packing import pack
 
     return pack(table(spark, sf_dir, "documents"), bpe_path())
 
 
+def op4_preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemill.llm.preferences import stale_reply_preferences
+
+    return stale_reply_preferences(table(spark, sf_dir, "conversations"))
+
+
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemill.llm.embeddings import similar
+
+    return similar(table(spark, sf_dir, "embeddings"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemill.llm.substrings import remove_repeats
 
     return remove_repeats(table(spark, sf_dir, "documents"), measure=True)
 
 
+def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemill.llm.warc import round_trip
+
+    return round_trip(table(spark, sf_dir, "pages"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemill.llm.langid import language_id
 
@@ -51,6 +81,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     from tidemill.llm.mixing import MIX_SQL
+    from tidemill.llm.preferences import PREFERENCE_SQL
     from tidemill.llm.substrings import REPEATS_SQL
+    from tidemill.llm.warc import REVISIT_SQL
 
-    return {"op6_substring_dedup": REPEATS_SQL, "op10_source_mixing": MIX_SQL}
+    return {"op4_preference_formatting": PREFERENCE_SQL, "op7_warc_revisits": REVISIT_SQL, "op6_substring_dedup": REPEATS_SQL, "op10_source_mixing": MIX_SQL}
