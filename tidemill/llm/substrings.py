@@ -7,7 +7,7 @@ more often. Merged over all tasks, cells counted at least twice are hot.
 The hot cells are folded into a bitmap of bounded size (at most ``MAX_BITS``; if a corpus outgrows it, more windows pass
 and the result stays the same).
 
-Pass 2. Windows whose minimizer is hot are grouped exactly by a 128-bit hash. Each task keeps its first occurrence of
+Pass 2. Windows whose minimizer is hot are grouped exactly by a 96-bit hash. Each task keeps its first occurrence of
 a window and marks all later ones of its own as repeated, so a window of any frequency sends one row for each
 task; over these rows the first start wins. Marked windows are joined to the documents, and the words they cover go.
 
@@ -30,6 +30,8 @@ from tidemill.llm.common import WordHash, mix64, rolling, ship, stage
 
 WINDOW, GRAM = 20, 8
 SHARDS = 256
+#: Windows that a task holds before it sends the first of each.
+SEND_ROWS = 1_500_000
 MIN_BITS, MAX_BITS, BITS_PER_HOT = 1 << 20, 1 << 30, 64
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)  # odd multipliers (fixed values)
 LAST = (1 << 63) - 1
@@ -117,7 +119,7 @@ def hot_bitmap(hot: DataFrame) -> tuple[int, bytes]:
 
 
 def repeated_windows(rows: DataFrame) -> DataFrame:
-    """From (id, tie, text): (id, tie, starts): the starts of windows whose words also start earlier."""
+    """From (id, tie, text): (id, tie, starts, more): the starts of windows whose words also start earlier, as numbers and as blobs of numbers."""
     spark = rows.sparkSession
     ship(spark)
     bits, bitmap = hot_bitmap(stage(sketch(rows.select("text")), "hot"))
@@ -125,8 +127,26 @@ def repeated_windows(rows: DataFrame) -> DataFrame:
 
     def find(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         flags, each = np.frombuffer(shared.value, np.uint8), bits // SHARDS
+        kind = np.dtype([("hi", "<i8"), ("lo", "<i4"), ("id", "<i8"), ("tie", "<i4"), ("start", "<i4")])
+
+        def send(found: list[np.ndarray]) -> Iterator[pd.DataFrame]:
+            x = np.concatenate(found)
+            x = x[np.lexsort((x["start"], x["tie"], x["id"], x["lo"], x["hi"]))]
+            new = np.ones(len(x), bool)
+            new[1:] = (x["hi"][1:] != x["hi"][:-1]) | (x["lo"][1:] != x["lo"][:-1])
+            lead = np.maximum.accumulate(np.where(new, np.arange(len(x)), 0))
+            same = (x["id"] == x["id"][lead]) & (x["tie"] == x["tie"][lead]) & (x["start"] == x["start"][lead])
+            late, x = x[~same], x[new]
+            for k in range(0, len(x), 50_000):
+                yield pd.DataFrame({c: x[c][k : k + 50_000] for c in kind.names} | {"starts": None})
+            late = late[np.lexsort((late["tie"], late["id"]))]
+            cuts = np.flatnonzero((late["id"][1:] != late["id"][:-1]) | (late["tie"][1:] != late["tie"][:-1])) + 1
+            for one in np.split(late, cuts) if len(late) else []:
+                doc = one[:1]
+                yield pd.DataFrame({"hi": mix64(doc["id"].view(np.uint64)).view(np.int64), "lo": doc["tie"], "id": doc["id"], "tie": doc["tie"], "start": [-1], "starts": [one["start"].tobytes()]})
+
         found: list[np.ndarray] = []
-        kind = np.dtype([("hi", "<i8"), ("lo", "<i8"), ("id", "<i8"), ("tie", "<i8"), ("start", "<i4")])
+        held = 0
         for part in parts:
             for doc, tie, text in zip(part["id"], part["tie"], part["text"], strict=True):
                 ids = word_ids(text)
@@ -139,31 +159,24 @@ def repeated_windows(rows: DataFrame) -> DataFrame:
                 if len(starts):
                     x = np.empty(len(starts), kind)
                     x["hi"] = mix64(rolling(ids, WINDOW, BASES[1])[starts]).view(np.int64)
-                    x["lo"] = mix64(rolling(ids, WINDOW, BASES[2])[starts]).view(np.int64)
+                    x["lo"] = (mix64(rolling(ids, WINDOW, BASES[2])[starts]) >> np.uint64(32)).astype(np.uint32).view(np.int32)
                     x["id"], x["tie"], x["start"] = doc, tie, starts
                     found.append(x)
-        if not found:
-            return
-        x = np.concatenate(found)
-        x = x[np.lexsort((x["start"], x["tie"], x["id"], x["lo"], x["hi"]))]
-        new = np.ones(len(x), bool)
-        new[1:] = (x["hi"][1:] != x["hi"][:-1]) | (x["lo"][1:] != x["lo"][:-1])
-        lead = np.maximum.accumulate(np.where(new, np.arange(len(x)), 0))
-        first = new | ((x["id"] == x["id"][lead]) & (x["tie"] == x["tie"][lead]) & (x["start"] == x["start"][lead]))
-        for k in range(0, len(x), 50_000):
-            y, f = x[k : k + 50_000], first[k : k + 50_000]
-            yield pd.DataFrame({c: y[c] for c in kind.names} | {"first": f})
-
-    found = rows.mapInPandas(find, "hi long, lo long, id long, tie long, start int, first boolean")
-    found = stage(found, "windows")
-    order = Window.partitionBy("hi", "lo").orderBy("id", "tie", "start")  # one row for each task that has the window
-    late = found.filter("first").withColumn("rank", F.rank().over(order)).filter("rank > 1").select("id", "tie", "start")
-    marked = late.unionByName(found.filter("not first").select("id", "tie", "start"))
-    return marked.groupBy("id", "tie").agg(F.collect_set("start").alias("starts"))
+                    held += len(x)
+                    if held >= SEND_ROWS:
+                        yield from send(found)
+                        found, held = [], 0
+        if found:
+            yield from send(found)
+
+    found = rows.mapInPandas(find, "hi long, lo int, id long, tie int, start int, starts binary")
+    order = Window.partitionBy("hi", "lo").orderBy("id", "tie", "start")  # a row for each task that has the window
+    late = found.withColumn("rank", F.rank().over(order)).filter("rank > 1 or starts is not null")
+    return late.groupBy("id", "tie").agg(F.collect_list(F.when(F.col("start") >= 0, F.col("start"))).alias("starts"), F.collect_list("starts").alias("more"))
 
 
 def keys(id_col: str, text_col: str) -> list:
-    return [F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST)).alias("__id"), F.xxhash64(F.col(f"`{text_col}`")).alias("__tie")]
+    return [F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST)).alias("__id"), F.hash(F.col(f"`{text_col}`")).alias("__tie")]
 
 
 def covered(n: int, starts: np.ndarray, window: int = WINDOW) -> np.ndarray:
@@ -178,7 +191,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     nothing stays as it is). With ``measure``: only id, n_words, n_removed, kept_sha256."""
     key = keys(id_col, text_col)
     rows = docs.select(key[0].alias("id"), key[1].alias("tie"), F.col(f"`{text_col}`").alias("text"))
-    marks = repeated_windows(rows).withColumnsRenamed({"id": "__mid", "tie": "__mtie", "starts": "__starts"})
+    marks = repeated_windows(rows).withColumnsRenamed({"id": "__mid", "tie": "__mtie", "starts": "__starts", "more": "__more"})
     names = [id_col] if measure else [c for c in docs.columns if c != text_col]
     wide = docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text_col}`").alias("__text"), *key)
     order = docs.columns
@@ -187,11 +200,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             texts, counts, gone, digests = [], [], [], []
-            for text, starts in zip(part.pop("__text"), part.pop("__starts"), strict=True):
+            for text, starts, more in zip(part.pop("__text"), part.pop("__starts"), part.pop("__more"), strict=True):
                 words = (text or "").encode("utf-8", "surrogatepass").split() if measure or starts is not None else []
                 n = len(words)
                 if starts is not None:
-                    keep = ~covered(n, np.asarray(starts, np.int64))
+                    keep = ~covered(n, np.concatenate((np.asarray(starts, np.int64), np.frombuffer(b"".join(more), "<i4"))))
                     words = [w for w, k in zip(words, keep.tolist(), strict=True) if k]
                     text = b" ".join(words).decode("utf-8", "surrogatepass")
                 if measure:
