@@ -8,7 +8,7 @@ Each of 48 consistent weighted samples (Ioffe, 2010) is equal in two documents w
 
 Equal texts are one node from the start. In a bucket every node is first verified against the smallest one only
 (linear in the bucket's size); then, where a bucket still holds more than one component, the pairs across
-components whose samples agree well enough are verified too, so that no link that could join two classes is lost.
+components that agree well enough in 256 further samples are verified too, so that no link that could join two classes is lost.
 
 Defined results: one row for each document: id, class_id (the smallest id of its class), class_size, kept (id =
 class_id). Null texts and null ids stay alone (class_id = id); texts without words link to equal texts only;
@@ -31,8 +31,9 @@ WORDS, THRESHOLD = 5, 0.8
 SAMPLES, BANDS = 48, 12
 #: Counters in each of the two rows of the document-frequency sketch, and the slices it is merged in.
 WIDTH, SLICES, FAN_IN = 1 << 20, 32, 64
-#: Across components, pairs whose samples agree less than this are not verified: 4 standard deviations below the threshold.
-AGREE = THRESHOLD - 4 * (THRESHOLD * (1 - THRESHOLD) / SAMPLES) ** 0.5
+#: Across components, nodes get so many samples more; pairs that agree in fewer than 4 standard deviations below the threshold are not verified.
+MORE_SAMPLES = 256
+AGREE = THRESHOLD - 4 * (THRESHOLD * (1 - THRESHOLD) / MORE_SAMPLES) ** 0.5
 BASE = 0x9E3779B97F4A7C15
 QUANTILES = 4096
 _HASH = WordHash()
@@ -153,16 +154,19 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     weigher = Weigher(frequencies(rows.select("text")), rows.count())
     shared = spark.sparkContext.broadcast(weigher)
 
-    def sample(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sampler, weigh = Sampler(), shared.value
-        for part in parts:
-            sigs = []
-            for text in part.pop("text"):
-                s, tf = shingles(text)
-                sigs.append(sampler(s, weigh(s, tf)).view(np.int32) if len(s) else None)
-            yield part.assign(samples=sigs)
+    def sampled(n: int, seed: int):
+        def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            sampler, weigh = Sampler(n, seed), shared.value
+            for part in parts:
+                sigs = []
+                for text in part.pop("text"):
+                    s, tf = shingles(text)
+                    sigs.append(sampler(s, weigh(s, tf)).view(np.int32) if len(s) else None)
+                yield part.assign(samples=sigs)
+
+        return work
 
-    signed = rows.select("id", F.unhex(F.md5("text")).alias("digest"), "text").mapInPandas(sample, "id long, digest binary, samples array<int>")
+    signed = rows.select("id", F.unhex(F.md5("text")).alias("digest"), "text").mapInPandas(sampled(SAMPLES, 9), "id long, digest binary, samples array<int>")
     signed = stage(signed, "samples")
     nodes = stage(signed.groupBy("digest").agg(F.min("id").alias("node"), F.first("samples").alias("samples")), "nodes")
     sliced = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.slice("samples", k * (SAMPLES // BANDS) + 1, SAMPLES // BANDS))))
@@ -176,10 +180,12 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     placed = filled.join(label, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("part"))
     placed = stage(placed, "placed")
     split = placed.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p < q").select("bucket")
-    left = placed.join(split, "bucket").join(nodes.groupBy("node").agg(F.first("samples").alias("samples")), "node")
+    left = stage(placed.join(split, "bucket"), "left")
+    finer = rows.join(left.select(F.col("node").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"]).mapInPandas(sampled(MORE_SAMPLES, 10), "id long, samples array<int>")
+    left = left.join(stage(finer, "finer").withColumnRenamed("id", "node"), "node")
     x, y = left.alias("x"), left.alias("y")
     agree = F.aggregate(F.zip_with("x.samples", "y.samples", lambda p, q: F.when(p == q, 1).otherwise(0)), F.lit(0), lambda s, v: s + v)
-    crossing = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.part") < F.col("y.part")) & (agree >= AGREE * SAMPLES))
+    crossing = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.part") < F.col("y.part")) & (agree >= AGREE * MORE_SAMPLES))
     more = crossing.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
     links = links.unionByName(stage(_verified(stage(more, "crossing"), rows, shared, threshold), "links"))
 
