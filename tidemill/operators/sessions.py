@@ -15,11 +15,10 @@ def sessionize(df: DataFrame, keys: list[str], time: str, gap: str = "30 minutes
 
 
 def session_rows(df: DataFrame, keys: list[str], time: str, aggregates: list, gap: str = "30 minutes") -> DataFrame:
-    """One row for each session, by Spark's own session windows: keys, session_start, and the aggregates. Null times have no session.
-
-    The window's end excludes a row exactly one gap later, so the gap is widened by the smallest step."""
+    """One row for each session, by Spark's own session windows: keys, session_start, and the aggregates. Null times have no session. A row
+    exactly one gap later is in the same session."""
     ltz = df.filter(F.col(time).isNotNull()).withColumn("__t", F.col(time).cast("timestamp"))
-    width = F.session_window("__t", F.lit(f"{gap} 1 microsecond"))
+    width = F.session_window("__t", F.lit(gap))
     return ltz.groupBy(*keys, width.alias("__w")).agg(F.min(time).alias("session_start"), *aggregates).drop("__w")
 
 

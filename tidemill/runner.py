@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -77,8 +78,18 @@ class Backend:
             raise
         self.drop(table)
         self.spark.sql(f"ALTER TABLE {self.name(staged)} RENAME TO {self.name(table)}")
+        if columns:
+            self._relocate(table)
         return seen.get["rows"]
 
+    def _relocate(self, table: str) -> None:
+        """Partitions follow their renamed table: some catalogs go on naming the old folder."""
+        home = next(r["data_type"] for r in self.spark.sql(f"DESCRIBE EXTENDED {self.name(table)}").collect() if r["col_name"] == "Location")
+        for r in self.spark.sql(f"SHOW PARTITIONS {self.name(table)}").collect():
+            parts = (x.partition("=") for x in r["partition"].split("/"))
+            spec = ", ".join("{} = '{}'".format(k, unquote(v).replace("'", "\\'")) for k, _, v in parts)
+            self.spark.sql(f"ALTER TABLE {self.name(table)} PARTITION ({spec}) SET LOCATION '{home}/{r['partition']}'")
+
     def count(self, table: str) -> int:
         return self.spark.table(self.name(table)).count()
 

@@ -15,7 +15,7 @@ def event_time(stream: DataFrame, time: str, late: str) -> DataFrame:
 
 
 def sessions(stream: DataFrame, keys: list[str], time: str, aggregates: list, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
-    w = F.session_window(time, f"{gap} 1 microsecond")
+    w = F.session_window(time, gap)
     return event_time(stream, time, late).groupBy(*keys, w.alias("w")).agg(*aggregates).select(*keys, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), *_names(aggregates))
 
 
