@@ -31,7 +31,8 @@ def session(spark: SparkSession, sf_dir: str, models: dict[str, str], **rest) ->
     texts = {n: s.format(**refs) for n, s in models.items()}
     sources = {f"raw.{t}": projects.SourceTable("raw", t) for t in TABLES}
     project = projects.from_sql(texts, sources=sources)
-    return Session(spark, project, {t: table(spark, sf_dir, t) for t in TABLES}, **rest)
+    used = {r.name for m in project.models.values() for r in m.refs}
+    return Session(spark, project, {t: table(spark, sf_dir, t) for t in TABLES if t in used}, **rest)
 
 
 MONEY = "cast(sum(cast({0} as decimal(18,2))) as double)"
