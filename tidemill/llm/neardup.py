@@ -6,9 +6,9 @@ documents are kept in a count-min sketch of fixed size (two rows), merged from o
 Each of 48 consistent weighted samples (Ioffe, 2010) is equal in two documents with probability the weighted Jaccard similarity;
 12 bands of 4 samples name the buckets. Pairs are verified by the exact weighted Jaccard similarity, at least 0.8.
 
-Equal texts are one node from the start. In a bucket every node is first verified against the smallest one only
-(linear in the bucket's size); then, where a bucket still holds more than one component, the pairs across
-components that agree well enough in 256 further samples are verified too, so that no link that could join two classes is lost.
+Equal texts are one node from the start. Every node is first verified against one other only, the smallest it shares a bucket
+with (linear in the number of nodes); then, where a bucket still holds more than one component, the pairs across components
+that agree well enough in 756 further samples are verified too, so that no link that could join two classes is lost.
 
 Defined results: one row for each document: id, class_id (the smallest id of its class), class_size, kept (id =
 class_id). Null texts and null ids stay alone (class_id = id); texts without words link to equal texts only;
@@ -17,23 +17,28 @@ rows that share an id share a class; an empty table gives an empty result. Extra
 
 from __future__ import annotations
 
+import uuid
 from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import WordHash, components, mix64, rolling, ship, stage
+from tidemill.llm.common import WordHash, components, mix64, rolling, scratch_path, ship, stage, unstage
 
 WORDS, THRESHOLD = 5, 0.8
 SAMPLES, BANDS = 48, 12
 #: Counters in each of the two rows of the document-frequency sketch, and the slices it is merged in.
 WIDTH, SLICES, FAN_IN = 1 << 20, 32, 64
 #: Across components, nodes get so many samples more; pairs that agree in fewer than 4 standard deviations below the threshold are not verified.
-MORE_SAMPLES = 256
+MORE_SAMPLES = 756
+#: Of each further sample one byte is kept, seven to a 64-bit number; LOW and HIGH are the bits below and at the top of each byte.
+PER_LONG, LOW, HIGH = 7, 0x7F7F7F7F7F7F7F, 0x80808080808080
 AGREE = THRESHOLD - 4 * (THRESHOLD * (1 - THRESHOLD) / MORE_SAMPLES) ** 0.5
+#: Keys that the pairs of one node are spread over.
+SALTS = 256
 BASE = 0x9E3779B97F4A7C15
 QUANTILES = 4096
 _HASH = WordHash()
@@ -154,40 +159,43 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     weigher = Weigher(frequencies(rows.select("text")), rows.count())
     shared = spark.sparkContext.broadcast(weigher)
 
-    def sampled(n: int, seed: int):
-        def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            sampler, weigh = Sampler(n, seed), shared.value
-            for part in parts:
-                sigs = []
-                for text in part.pop("text"):
-                    s, tf = shingles(text)
-                    sigs.append(sampler(s, weigh(s, tf)).view(np.int32) if len(s) else None)
-                yield part.assign(samples=sigs)
+    def sampled(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sampler, weigh = Sampler(SAMPLES, 9), shared.value
+        for part in parts:
+            found = [shingles(text) for text in part.pop("text")]
+            yield part.assign(samples=[sampler(s, weigh(s, tf)).view(np.int32) if len(s) else None for s, tf in found])
 
-        return work
+    def packed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sampler, weigh = Sampler(MORE_SAMPLES, 10), shared.value
+        for part in parts:
+            found = [shingles(text) for text in part.pop("text")]
+            yield part.assign(samples=[_packed(sampler(s, weigh(s, tf))) for s, tf in found])
 
-    signed = rows.select("id", F.unhex(F.md5("text")).alias("digest"), "text").mapInPandas(sampled(SAMPLES, 9), "id long, digest binary, samples array<int>")
+    signed = rows.select("id", F.unhex(F.md5("text")).alias("digest"), "text").mapInPandas(sampled, "id long, digest binary, samples array<int>")
     signed = stage(signed, "samples")
-    nodes = stage(signed.groupBy("digest").agg(F.min("id").alias("node"), F.first("samples").alias("samples")), "nodes")
-    sliced = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.slice("samples", k * (SAMPLES // BANDS) + 1, SAMPLES // BANDS))))
-    banded = nodes.filter("samples is not null").select("node", sliced.alias("bucket"))
+    band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.slice("samples", k * (SAMPLES // BANDS) + 1, SAMPLES // BANDS)))
+    nodes = stage(signed.groupBy("digest").agg(F.min("id").alias("node"), F.first("samples").alias("samples")).select("digest", "node", F.when(F.col("samples").isNotNull(), band).alias("bands")), "nodes")
+    banded = nodes.filter("bands is not null").select("node", F.explode("bands").alias("bucket"))
     full = banded.groupBy("bucket").agg(F.min("node").alias("head"), F.count("*").alias("n")).filter("n > 1").select("bucket", "head")
     filled = stage(banded.join(full, "bucket"), "buckets")
-    stars = filled.filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
-    links = stage(_verified(stars, rows, shared, threshold), "links")
-
-    label = components(links)
-    placed = filled.join(label, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("part"))
-    placed = stage(placed, "placed")
-    split = placed.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p < q").select("bucket")
-    left = stage(placed.join(split, "bucket"), "left")
-    finer = rows.join(left.select(F.col("node").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"]).mapInPandas(sampled(MORE_SAMPLES, 10), "id long, samples array<int>")
-    left = left.join(stage(finer, "finer").withColumnRenamed("id", "node"), "node")
-    x, y = left.alias("x"), left.alias("y")
-    agree = F.aggregate(F.zip_with("x.samples", "y.samples", lambda p, q: F.when(p == q, 1).otherwise(0)), F.lit(0), lambda s, v: s + v)
-    crossing = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.part") < F.col("y.part")) & (agree >= AGREE * MORE_SAMPLES))
-    more = crossing.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    links = links.unionByName(stage(_verified(stage(more, "crossing"), rows, shared, threshold), "links"))
+    stars = stage(filled.groupBy("node").agg(F.min("head").alias("head")).filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")), "stars")
+    with _Texts(rows, filled.select(F.col("node").alias("id")).distinct()) as texts:
+        links = stage(_verified(stars, texts, shared, threshold), "links")
+
+        label = components(links)
+        placed = stage(filled.join(label, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("part")), "placed")
+        split = placed.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p < q").select("bucket")
+        left = stage(placed.join(split, "bucket"), "left")
+        finer = texts.join(left.select(F.col("node").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("node"), "text")
+        finer = stage(finer.mapInPandas(packed, "node long, samples array<long>"), "finer")
+        left = left.join(finer, "node").join(nodes.select("node", "bands").dropDuplicates(["node"]), "node")
+        x, y = left.alias("x"), left.alias("y")
+        differ = F.aggregate(F.zip_with("x.samples", "y.samples", _unequal_bytes), F.lit(0), lambda s, v: s + v)
+        first = F.array_position(F.zip_with("x.bands", "y.bands", lambda p, q: p == q), True)
+        met = F.col("x.bucket") == F.element_at("x.bands", first.cast("int"))  # of the buckets that two nodes share, the first one makes the pair
+        crossing = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.part") < F.col("y.part")) & met & (differ <= (1 - AGREE) * MORE_SAMPLES))
+        more = crossing.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).join(stars, ["a", "b"], "left_anti")
+        links = links.unionByName(stage(_verified(stage(more, "crossing"), texts, shared, threshold), "links"))
 
     # Rows that share an id share a class, whatever their texts.
     ids = signed.join(nodes.select("digest", "node"), "digest").select("id", "node")
@@ -201,7 +209,20 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     return out.unionByName(alone).select(F.col("id").alias(id_col), "class_id", "class_size", F.coalesce(F.col("id") == F.col("class_id"), F.lit(True)).alias("kept"))
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, shared, threshold: float) -> DataFrame:
+def _packed(samples: np.ndarray) -> np.ndarray:
+    """The top byte of each 32-bit sample, PER_LONG to a number."""
+    out = np.zeros((len(samples) // PER_LONG, 8), np.uint8)
+    out[:, :PER_LONG] = (samples >> np.uint32(24)).reshape(-1, PER_LONG)
+    return out.view("<i8")[:, 0]
+
+
+def _unequal_bytes(p: Column, q: Column) -> Column:
+    """In how many of their low seven bytes two numbers differ."""
+    v = p.bitwiseXOR(q)
+    return F.bit_count((v.bitwiseAND(F.lit(LOW)) + F.lit(LOW)).bitwiseOR(v).bitwiseAND(F.lit(HIGH)))
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, shared, threshold: float) -> DataFrame:
     """Pairs (a, b) of ids with similarity of at least the threshold, and that similarity."""
 
     def check(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -220,8 +241,27 @@ def _verified(pairs: DataFrame, rows: DataFrame, shared, threshold: float) -> Da
             out = part[["a", "b"]].assign(similarity=sim)
             yield out[out["similarity"] >= threshold]
 
-    # Only texts that stand in a pair are moved twice.
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = stage(rows.join(wanted, "id", "left_semi").dropDuplicates(["id"]), "texts")
-    full = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-    return full.mapInPandas(check, "a long, b long, similarity double")
+    # A head's pairs are dealt out by salts, so that no task gets all partners of one head.
+    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
+    heads = salted.select("a", "salt").distinct()
+    ta = texts.select(F.col("id").alias("a"), F.col("text").alias("ta")).join(heads, "a")
+    tb = texts.select(F.col("id").alias("b"), F.col("text").alias("tb")).join(salted, "b")
+    return tb.join(ta, ["a", "salt"]).mapInPandas(check, "a long, b long, similarity double")
+
+
+class _Texts:
+    """The texts of some ids as a table in buckets of ids, in the shared folder: later joins on ids don't move texts again."""
+
+    def __init__(self, rows: DataFrame, ids: DataFrame) -> None:
+        self.spark, self.rows, self.ids = rows.sparkSession, rows, ids
+        self.name = f"mill_texts_{uuid.uuid4().hex}"
+
+    def __enter__(self) -> DataFrame:
+        n = min(int(self.spark.conf.get("spark.sql.shuffle.partitions")), 100_000)
+        some = self.rows.repartition(n, "id").join(self.ids, "id", "left_semi").dropDuplicates(["id"])
+        some.write.bucketBy(n, "id").sortBy("id").option("path", scratch_path(self.spark, "texts")).saveAsTable(self.name)
+        return self.spark.table(self.name)
+
+    def __exit__(self, *_: object) -> None:
+        unstage(self.spark, self.spark.table(self.name))
+        self.spark.sql(f"DROP TABLE {self.name}")
