@@ -37,6 +37,8 @@ MORE_SAMPLES = 756
 #: Of each further sample one byte is kept, seven to a 64-bit number; LOW and HIGH are the bits below and at the top of each byte.
 PER_LONG, LOW, HIGH = 7, 0x7F7F7F7F7F7F7F, 0x80808080808080
 AGREE = THRESHOLD - 4 * (THRESHOLD * (1 - THRESHOLD) / MORE_SAMPLES) ** 0.5
+#: Bits of the map of ids that stand in some bucket (8 MB).
+BITS = 1 << 26
 #: Keys that the pairs of one node are spread over.
 SALTS = 256
 BASE = 0x9E3779B97F4A7C15
@@ -249,6 +251,16 @@ def _verified(pairs: DataFrame, texts: DataFrame, shared, threshold: float) -> D
     return tb.join(ta, ["a", "salt"]).mapInPandas(check, "a long, b long, similarity double")
 
 
+def _likely(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows whose id may be among the ids, by a bitmap of BITS hashed ids: it keeps most other texts out of the shuffle that follows. Its size is fixed; when it is full it keeps all."""
+    place = F.pmod(F.xxhash64("id"), F.lit(BITS)) + F.lit(1)
+    bits = ids.select(F.bitmap_bucket_number(place).alias("chunk"), F.bitmap_bit_position(place).alias("bit")).groupBy("chunk").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    bit = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring("bits", (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    met = rows.withColumn("chunk", F.bitmap_bucket_number(place)).join(F.broadcast(bits), "chunk")
+    return met.filter(F.getbit(byte, (bit % 8).cast("int")) == 1).select(*rows.columns)
+
+
 class _Texts:
     """The texts of some ids as a table in buckets of ids, in the shared folder: later joins on ids don't move texts again."""
 
@@ -258,7 +270,7 @@ class _Texts:
 
     def __enter__(self) -> DataFrame:
         n = min(int(self.spark.conf.get("spark.sql.shuffle.partitions")), 100_000)
-        some = self.rows.repartition(n, "id").join(self.ids, "id", "left_semi").dropDuplicates(["id"])
+        some = _likely(self.rows, self.ids).join(self.ids.hint("merge"), "id", "left_semi").repartition(n, "id").dropDuplicates(["id"])
         some.write.bucketBy(n, "id").sortBy("id").option("path", scratch_path(self.spark, "texts")).saveAsTable(self.name)
         return self.spark.table(self.name)
 
