@@ -270,7 +270,7 @@ class _Texts:
 
     def __enter__(self) -> DataFrame:
         n = min(int(self.spark.conf.get("spark.sql.shuffle.partitions")), 100_000)
-        some = _likely(self.rows, self.ids).join(self.ids.hint("merge"), "id", "left_semi").repartition(n, "id").dropDuplicates(["id"])
+        some = _likely(self.rows, self.ids).repartition(n, "id").join(self.ids, "id").dropDuplicates(["id"])  # a semi join would be pushed below the bitmap
         some.write.bucketBy(n, "id").sortBy("id").option("path", scratch_path(self.spark, "texts")).saveAsTable(self.name)
         return self.spark.table(self.name)
 
