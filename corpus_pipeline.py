@@ -50,9 +50,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rest = (F.col("taken") - whole * F.col("size")).cast("int")
     words = F.slice(F.regexp_extract_all("row.text", F.lit(WORD), F.lit(0)), F.lit(1), rest)
     texts = F.concat(F.array_repeat("row.text", whole.cast("int")), F.when(rest > 0, F.array(F.array_join(words, " "))).otherwise(F.array().cast("array<string>")))
-    rows = mixed.select("finish", "row", F.explode(texts).alias("text"))
-    ordered = rows.repartitionByRange("finish").sortWithinPartitions("finish")
-    return ordered.select("row.doc_id", "text", "row.lang", "row.source", F.length("text").cast("long").alias("n_chars"))
+    ordered = mixed.repartitionByRange("finish").sortWithinPartitions("finish")
+    return ordered.select("row", F.explode(texts).alias("text")).select("row.doc_id", "text", "row.lang", "row.source", F.length("text").cast("long").alias("n_chars"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -52,23 +52,26 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = BUDGET_SHARE, repeats: int = MAX_REPEATS, carry_text: bool = False) -> DataFrame:
     """One row for each document: id, size, source_size, target, taken, finish (virtual finish time; null if
-    nothing is taken); with ``carry_text`` also the text and all other columns of ``docs``, in a struct ``row``."""
+    nothing is taken); with ``carry_text`` also the text and all other columns of ``docs``, in a struct ``row``. Texts
+    are moved once: ``docs`` is read twice instead of being written, so it must be a table, not a costly plan."""
     digest = F.md5(F.concat(F.lit(SEED), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))).cast("binary"))
     slim = docs.select(
         F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), digest.alias("order"),
         F.xxhash64(F.col(text_col)).alias("tie"), *([F.struct(*docs.columns).alias("row")] if carry_text else []),
     ).withColumn("bucket", F.substring("order", 1, 3))
-    slim = stage(slim, "mix")
-    sums = slim.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
+    # One key that is never null, so that the prefix sums and the join share a partitioning.
+    slim = slim.withColumn("queue", F.concat("bucket", F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))))
+    slim = slim if carry_text else stage(slim, "mix")
+    sums = slim.groupBy("queue", "source", "bucket").agg(F.sum("size").alias("words"))
     sums = stage(sums, "mix-sums")
     plan = targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, repeats)
     starts = sums.join(plan, sums["source"].eqNullSafe(plan["source"])).select(
-        plan["source"].alias("s_source"), F.col("bucket").alias("s_bucket"), "source_no", "source_size", "target",
+        F.col("queue").alias("s_queue"), "source_size", "target",
         (F.sum("words").over(Window.partitionBy("source_no").orderBy("bucket")) - F.col("words")).alias("start"),
     )
-    queued = slim.join(starts, slim["source"].eqNullSafe(starts["s_source"]) & (slim["bucket"] == starts["s_bucket"]))
-    line = Window.partitionBy("source_no", "bucket").orderBy("order", "id", "size", "tie").rowsBetween(Window.unboundedPreceding, 0)
-    queued = queued.withColumn("end", F.col("start") + F.sum("size").over(line))
+    line = Window.partitionBy("queue").orderBy("order", "id", "size", "tie").rowsBetween(Window.unboundedPreceding, 0)
+    queued = slim.withColumn("upto", F.sum("size").over(line)).join(starts, F.col("queue") == F.col("s_queue"))
+    queued = queued.withColumn("end", F.col("start") + F.col("upto"))
     whole = F.floor("target")
     served = [F.greatest(F.lit(0), F.least(F.col("size"), whole - (F.col("end") - F.col("size") + k * F.col("source_size")))) for k in range(repeats)]
     taken = sum(served[1:], served[0])
