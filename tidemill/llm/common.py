@@ -71,6 +71,18 @@ def unstage(spark: SparkSession, *frames: DataFrame) -> None:
                 path.getFileSystem(conf).delete(path, True)
 
 
+_LIVE: list[dict] = []
+
+
+def sole(cache: dict) -> dict:
+    """The cache, after the one that this worker filled for another operator is emptied: a worker that serves many stages holds one at a time."""
+    if not _LIVE or _LIVE[0] is not cache:
+        for other in _LIVE:
+            other.clear()
+        _LIVE[:] = [cache]
+    return cache
+
+
 class WordHash(dict):
     """Word to 64-bit hash, equal in all workers; emptied when full, so memory is bounded."""
 
@@ -81,7 +93,7 @@ class WordHash(dict):
         return h
 
     def of(self, words: list) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+        return np.fromiter(map(sole(self).__getitem__, words), np.uint64, len(words))
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

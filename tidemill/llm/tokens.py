@@ -13,6 +13,8 @@ import re
 
 import numpy as np
 
+from tidemill.llm.common import sole
+
 #: Cached chunks for each worker; longer chunks than CHUNK_CHARS are rarely seen twice and never kept.
 CACHE_CHUNKS, CHUNK_CHARS = 400_000, 24
 _RUN = re.compile(r"\s(?:  | \Z)")
@@ -68,6 +70,6 @@ _ENCODERS: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    if path not in _ENCODERS:
+    if path not in sole(_ENCODERS):
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
