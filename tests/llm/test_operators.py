@@ -98,6 +98,17 @@ def test_near_duplicates_brute_force(docs):
     assert clear > 3 and linked == clear
 
 
+def test_document_frequencies_are_exact_at_the_border(spark):
+    """Filler texts bring 4 million shingles; a pair's similarity must not depend on them but by N and df."""
+    shared = [f"p{i}" for i in range(1000)]
+    tails = [68, 68, 58, 58]
+    texts = [" ".join([*shared, *(f"t{k}x{i}" for i in range(n))]) for k, n in enumerate(tails)]
+    texts += [" ".join([*shared, *(f"f{k}x{i}" for i in range(40_000))]) for k in range(100)]
+    got = neardup.classes(spark.createDataFrame(rows_of(*texts), DOCS)).toPandas().set_index("doc_id").class_id
+    # Shared shingles stand in all texts and weigh 1, others 2: 996 / (996 + 2 * 136) = 0.785 below, 996 / (996 + 2 * 116) = 0.811 above.
+    assert got[0] != got[1] and got[2] == got[3]
+
+
 def test_samples_estimate_similarity():
     rng = np.random.default_rng(3)
     s = np.unique(rng.integers(0, 1 << 63, 900, np.uint64))

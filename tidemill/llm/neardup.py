@@ -1,8 +1,10 @@
 """Near-duplicates by improved consistent weighted sampling over TF-IDF shingles.
 
 A document is the weighted set of its 5-word shingles (words of the lower-case text between white space; a shorter text is one
-shingle), weight tf x (1 + idf), idf = ln(N / df) / ln N between 0 and 1. Document frequencies of all shingles of all
-documents are kept in a count-min sketch of fixed size (two rows), merged from one sketch for each task.
+shingle), weight tf x (1 + idf), idf = ln(N / df) / ln N between 0 and 1. Document frequencies are exact, for samples and
+verification alike: texts are dealt into batches, batches send their distinct shingles to slices of the hash range, and
+get back the frequencies of those that stand in more than one text. A text whose shingles that also stand in other texts
+weigh less than 0.8 of the whole can't be similar to any of them, so it isn't sampled.
 Each of 48 consistent weighted samples (Ioffe, 2010) is equal in two documents with probability the weighted Jaccard similarity;
 12 bands of 4 samples name the buckets. Pairs are verified by the exact weighted Jaccard similarity, at least 0.8.
 
@@ -30,8 +32,8 @@ from tidemill.llm.common import WordHash, components, mix64, rolling, scratch_pa
 
 WORDS, THRESHOLD = 5, 0.8
 SAMPLES, BANDS = 48, 12
-#: Counters in each of the two rows of the document-frequency sketch, and the slices it is merged in.
-WIDTH, SLICES, FAN_IN = 1 << 20, 32, 64
+#: Characters of text in a batch; shingles are counted in as many slices as there are batches.
+BATCH_CHARS = 8_000_000
 #: Across components, nodes get so many samples more; pairs that agree in fewer than 4 standard deviations below the threshold are not verified.
 MORE_SAMPLES = 756
 #: Of each further sample one byte is kept, seven to a 64-bit number; LOW and HIGH are the bits below and at the top of each byte.
@@ -54,57 +56,62 @@ def shingles(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(mix64(rolling(ids, min(WORDS, len(ids)), BASE)), return_counts=True)
 
 
-def _places(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return (s & np.uint64(WIDTH - 1)).astype(np.int64), ((s >> np.uint64(32)) & np.uint64(WIDTH - 1)).astype(np.int64) + WIDTH
+class Weigher:
+    """Weights of shingles from their document frequencies: tf x (1 + idf)."""
 
+    def __init__(self, n_docs: int) -> None:
+        self.log_n = np.log(max(n_docs, 2))
 
-def frequencies(rows: DataFrame) -> np.ndarray:
-    """Merged sketch of document frequencies of (text), 2 x WIDTH counters; its size doesn't depend on the corpus."""
+    def __call__(self, tf: np.ndarray, df: np.ndarray) -> np.ndarray:
+        return tf * (1 + (1 - np.log(np.maximum(df, 1)) / self.log_n).clip(0, 1))
 
-    def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyspark import TaskContext
 
-        c = np.zeros(2 * WIDTH, np.int32)
-        for part in parts:
-            for text in part["text"]:
-                s, _ = shingles(text)
-                for p in _places(s):
-                    np.add.at(c, p, 1)
-        if c.any():
-            for k, x in enumerate(np.split(c, SLICES)):
-                yield pd.DataFrame({"slice": [k], "part": [TaskContext.get().partitionId()], "counts": [x.astype("<i8").tobytes() if x.max() > 1 << 30 else x.astype("<i4").tobytes()], "wide": [bool(x.max() > 1 << 30)]})
-
-    def add(part: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(2 * WIDTH // SLICES, np.int64)
-        for b, wide in zip(part["counts"], part["wide"], strict=True):
-            total += np.frombuffer(b, "<i8" if wide else "<i4")
-        wide = bool(total.max() > 1 << 30)
-        return pd.DataFrame({"slice": part["slice"][:1], "part": part["part"][:1] // FAN_IN, "counts": [total.astype("<i8" if wide else "<i4").tobytes()], "wide": [wide]})
-
-    schema = "slice int, part long, counts binary, wide boolean"
-    level = rows.mapInPandas(count, schema)
-    tasks = rows.rdd.getNumPartitions()
-    while True:  # a tree: no task adds more than FAN_IN slices
-        level = level.groupBy("slice", F.floor(F.col("part") / FAN_IN).alias("g")).applyInPandas(lambda key, part: add(part), schema)
-        tasks = -(-tasks // FAN_IN)
-        if tasks <= 1:
-            break
-    out = np.zeros(2 * WIDTH, np.int64)
-    for r in level.toLocalIterator():
-        n = len(out) // SLICES
-        out[r["slice"] * n : (r["slice"] + 1) * n] += np.frombuffer(r["counts"], "<i8" if r["wide"] else "<i4")
-    return out
+def _distinct(part: pd.DataFrame) -> pd.DataFrame:
+    """One row for each text of (id, digest, text, copies): the smallest id, how many documents have the text."""
+    return part.groupby("digest", as_index=False, sort=False).agg({"id": "min", "text": "first", "copies": "sum"})
 
 
-class Weigher:
-    """Weights of shingles from the sketch."""
+def _summed(s: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(sorted distinct hashes, sums of each of the counts)."""
+    order = s.argsort()
+    s = s[order]
+    first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
+    return s[first], *(np.add.reduceat(c[order], first) for c in counts)
+
+
+def frequencies(texts: DataFrame, slices: int) -> DataFrame:
+    """Exact document frequencies of (batch, id, digest, text, copies), for each batch: rows (batch, shingles, df) of sorted shingles that
+    stand in more than one text. A shingle that isn't there stands in one text only, so its frequency is that text's copies.
 
-    def __init__(self, counts: np.ndarray, n_docs: int) -> None:
-        self.idf = (1 - np.log(np.maximum(counts, 1)) / np.log(max(n_docs, 2))).clip(0, 1).astype(np.float32)
+    A batch sends each of its distinct shingles once, with its count, to a slice of the hash range; no task gets more of a common shingle."""
 
-    def __call__(self, s: np.ndarray, tf: np.ndarray) -> np.ndarray:
-        a, b = _places(s)
-        return tf * (1 + np.maximum(self.idf[a], self.idf[b]))  # the smaller count is the better estimate
+    def count(part: pd.DataFrame) -> pd.DataFrame:
+        batch, part = part["batch"].iloc[0], _distinct(part)
+        found = [shingles(text)[0] for text in part["text"]]
+        s, n = np.concatenate(found), np.repeat(part["copies"].to_numpy(np.int64), [len(x) for x in found])
+        if not len(s):
+            return pd.DataFrame({"slice": [], "batch": [], "shingles": [], "df": [], "texts": []})
+        s, df, held = _summed(s, n, np.ones(len(s), np.int64))
+        place = ((s >> np.uint64(32)) * np.uint64(slices)) >> np.uint64(32)
+        first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
+        ends = [*first[1:].tolist(), len(s)]
+        cut = lambda x: [x[i:j].tobytes() for i, j in zip(first.tolist(), ends, strict=True)]
+        return pd.DataFrame({"slice": place[first].astype(np.int64), "batch": batch, "shingles": cut(s), "df": cut(df), "texts": cut(held)})
+
+    def merge(part: pd.DataFrame) -> pd.DataFrame:
+        found = [np.frombuffer(x, np.uint64) for x in part["shingles"]]
+        s, df, held = _summed(np.concatenate(found), *(np.frombuffer(b"".join(part[k]), np.int64) for k in ("df", "texts")))
+        s, df = s[held > 1], df[held > 1]
+        out = []
+        for batch, own in zip(part["batch"], found, strict=True):
+            place = np.searchsorted(s, own).clip(max=max(len(s) - 1, 0))
+            place = place[s[place] == own] if len(s) else place[:0]
+            if len(place):
+                out.append((batch, s[place].tobytes(), df[place].tobytes()))
+        return pd.DataFrame(out, columns=["batch", "shingles", "df"])
+
+    sent = texts.groupBy("batch").applyInPandas(count, "slice long, batch long, shingles binary, df binary, texts binary")
+    return sent.groupBy("slice").applyInPandas(merge, "batch long, shingles binary, df binary")
 
 
 class Sampler:
@@ -158,37 +165,60 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     ship(spark)
     all_rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     rows = all_rows.filter("id is not null and text is not null")
-    weigher = Weigher(frequencies(rows.select("text")), rows.count())
-    shared = spark.sparkContext.broadcast(weigher)
-
-    def sampled(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sampler, weigh = Sampler(SAMPLES, 9), shared.value
-        for part in parts:
-            found = [shingles(text) for text in part.pop("text")]
-            yield part.assign(samples=[sampler(s, weigh(s, tf)).view(np.int32) if len(s) else None for s, tf in found])
+    ids = stage(rows.select("id", F.unhex(F.md5("text")).alias("digest")), "ids")
+    size = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
+    parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 100_000)
+    batches = max(parts, -(-size["chars"] // BATCH_CHARS))
+    weigh = Weigher(size["n"])
+
+    def once(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:  # a common text leaves once for many rows
+            yield _distinct(part.assign(copies=1))
+
+    def sampled(part: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        s_known, df_known = (np.frombuffer(b"".join(known[k]), d) for k, d in (("shingles", np.uint64), ("df", np.int64)))
+        order = s_known.argsort()
+        s_known, df_known = s_known[order], df_known[order]
+        sampler, out = Sampler(SAMPLES, 9), []
+        if len(part) and len(s_known):
+            for x in _distinct(part).itertuples():
+                s, tf = shingles(x.text)
+                place = np.searchsorted(s_known, s).clip(max=len(s_known) - 1)
+                met = s_known[place] == s
+                w = weigh(tf, np.where(met, df_known[place], x.copies))
+                if len(s) and w[met].sum() >= threshold * w.sum() * (1 - 1e-9):
+                    out.append((x.id, x.digest, sampler(s, w).view(np.int32), x.text, w.tobytes()))
+        return pd.DataFrame(out, columns=["id", "digest", "samples", "text", "weights"])
 
     def packed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sampler, weigh = Sampler(MORE_SAMPLES, 10), shared.value
+        sampler = Sampler(MORE_SAMPLES, 10)
         for part in parts:
-            found = [shingles(text) for text in part.pop("text")]
-            yield part.assign(samples=[_packed(sampler(s, weigh(s, tf))) for s, tf in found])
-
-    signed = rows.select("id", F.unhex(F.md5("text")).alias("digest"), "text").mapInPandas(sampled, "id long, digest binary, samples array<int>")
-    signed = stage(signed, "samples")
+            found = [(shingles(text)[0], np.frombuffer(w)) for text, w in zip(part.pop("text"), part.pop("weights"), strict=True)]
+            yield part.assign(samples=[_packed(sampler(s, w)) for s, w in found])
+
+    dealt = rows.select("id", F.unhex(F.md5("text")).alias("digest"), "text").mapInPandas(once, "digest binary, id long, text string, copies long")
+    dealt = dealt.withColumn("batch", F.pmod(F.xxhash64("digest"), F.lit(batches)))
+    with _Bucketed(dealt, "batch", parts) as dealt:
+        known = stage(frequencies(dealt, batches), "frequencies")
+        signed = dealt.groupBy("batch").cogroup(known.groupBy("batch")).applyInPandas(sampled, "id long, digest binary, samples array<int>, text string, weights binary")
+        signed = stage(signed, "samples")
+        unstage(spark, known)
     band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.slice("samples", k * (SAMPLES // BANDS) + 1, SAMPLES // BANDS)))
-    nodes = stage(signed.groupBy("digest").agg(F.min("id").alias("node"), F.first("samples").alias("samples")).select("digest", "node", F.when(F.col("samples").isNotNull(), band).alias("bands")), "nodes")
-    banded = nodes.filter("bands is not null").select("node", F.explode("bands").alias("bucket"))
+    nodes = stage(signed.select(F.col("id").alias("node"), band.alias("bands")), "nodes")
+    banded = nodes.select("node", F.explode("bands").alias("bucket"))
     full = banded.groupBy("bucket").agg(F.min("node").alias("head"), F.count("*").alias("n")).filter("n > 1").select("bucket", "head")
     filled = stage(banded.join(full, "bucket"), "buckets")
     stars = stage(filled.groupBy("node").agg(F.min("head").alias("head")).filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")), "stars")
-    with _Texts(rows, filled.select(F.col("node").alias("id")).distinct()) as texts:
-        links = stage(_verified(stars, texts, shared, threshold), "links")
+    met = filled.select(F.col("node").alias("id")).distinct()
+    some = _likely(signed.select("id", "text", "weights"), met).join(met, "id").dropDuplicates(["id"])  # a semi join would be pushed below the bitmap
+    with _Bucketed(some, "id", parts) as texts:
+        links = stage(_verified(stars, texts, threshold), "links")
 
         label = components(links)
         placed = stage(filled.join(label, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("part")), "placed")
         split = placed.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p < q").select("bucket")
         left = stage(placed.join(split, "bucket"), "left")
-        finer = texts.join(left.select(F.col("node").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("node"), "text")
+        finer = texts.join(left.select(F.col("node").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("node"), "text", "weights")
         finer = stage(finer.mapInPandas(packed, "node long, samples array<long>"), "finer")
         left = left.join(finer, "node").join(nodes.select("node", "bands").dropDuplicates(["node"]), "node")
         x, y = left.alias("x"), left.alias("y")
@@ -197,10 +227,10 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
         met = F.col("x.bucket") == F.element_at("x.bands", first.cast("int"))  # of the buckets that two nodes share, the first one makes the pair
         crossing = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.part") < F.col("y.part")) & met & (differ <= (1 - AGREE) * MORE_SAMPLES))
         more = crossing.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).join(stars, ["a", "b"], "left_anti")
-        links = links.unionByName(stage(_verified(stage(more, "crossing"), texts, shared, threshold), "links"))
+        links = links.unionByName(stage(_verified(stage(more, "crossing"), texts, threshold), "links"))
 
     # Rows that share an id share a class, whatever their texts.
-    ids = signed.join(nodes.select("digest", "node"), "digest").select("id", "node")
+    ids = ids.join(ids.groupBy("digest").agg(F.min("id").alias("node")), "digest").select("id", "node")
     same = ids.filter("id <> node").select(F.col("id").alias("a"), F.col("node").alias("b")).distinct()
     repeated = same.groupBy("a").count().filter("count > 1").select("a")
     label = components(links.select("a", "b").unionByName(same.join(repeated, "a")))
@@ -224,30 +254,29 @@ def _unequal_bytes(p: Column, q: Column) -> Column:
     return F.bit_count((v.bitwiseAND(F.lit(LOW)) + F.lit(LOW)).bitwiseOR(v).bitwiseAND(F.lit(HIGH)))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, shared, threshold: float) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b) of ids with similarity of at least the threshold, and that similarity."""
 
     def check(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        weigh, seen = shared.value, OrderedDict()
+        seen = OrderedDict()
 
-        def of(doc: int, text: str) -> tuple[np.ndarray, np.ndarray]:
+        def of(doc: int, text: str, weights: bytes) -> tuple[np.ndarray, np.ndarray]:
             if doc not in seen:
-                s, tf = shingles(text)
-                seen[doc] = s, weigh(s, tf)
+                seen[doc] = shingles(text)[0], np.frombuffer(weights)
                 if len(seen) > 64:
                     seen.popitem(last=False)
             return seen[doc]
 
         for part in parts:
-            sim = [similarity(of(a, p), of(b, q)) for a, b, p, q in zip(part["a"], part["b"], part["ta"], part["tb"], strict=True)]
+            sim = [similarity(of(a, p, v), of(b, q, w)) for a, b, p, q, v, w in zip(*(part[k] for k in ("a", "b", "ta", "tb", "wa", "wb")), strict=True)]
             out = part[["a", "b"]].assign(similarity=sim)
             yield out[out["similarity"] >= threshold]
 
     # A head's pairs are dealt out by salts, so that no task gets all partners of one head.
     salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
     heads = salted.select("a", "salt").distinct()
-    ta = texts.select(F.col("id").alias("a"), F.col("text").alias("ta")).join(heads, "a")
-    tb = texts.select(F.col("id").alias("b"), F.col("text").alias("tb")).join(salted, "b")
+    ta = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"), F.col("weights").alias("wa")).join(heads, "a")
+    tb = texts.select(F.col("id").alias("b"), F.col("text").alias("tb"), F.col("weights").alias("wb")).join(salted, "b")
     return tb.join(ta, ["a", "salt"]).mapInPandas(check, "a long, b long, similarity double")
 
 
@@ -261,17 +290,16 @@ def _likely(rows: DataFrame, ids: DataFrame) -> DataFrame:
     return met.filter(F.getbit(byte, (bit % 8).cast("int")) == 1).select(*rows.columns)
 
 
-class _Texts:
-    """The texts of some ids as a table in buckets of ids, in the shared folder: later joins on ids don't move texts again."""
+class _Bucketed:
+    """Rows as a table in buckets of a key, in the shared folder: later joins and groups on the key don't move the rows again."""
 
-    def __init__(self, rows: DataFrame, ids: DataFrame) -> None:
-        self.spark, self.rows, self.ids = rows.sparkSession, rows, ids
+    def __init__(self, rows: DataFrame, key: str, n: int) -> None:
+        self.spark, self.rows, self.key, self.n = rows.sparkSession, rows, key, n
         self.name = f"mill_texts_{uuid.uuid4().hex}"
 
     def __enter__(self) -> DataFrame:
-        n = min(int(self.spark.conf.get("spark.sql.shuffle.partitions")), 100_000)
-        some = _likely(self.rows, self.ids).repartition(n, "id").join(self.ids, "id").dropDuplicates(["id"])  # a semi join would be pushed below the bitmap
-        some.write.bucketBy(n, "id").sortBy("id").option("path", scratch_path(self.spark, "texts")).saveAsTable(self.name)
+        rows = self.rows.repartition(self.n, self.key)
+        rows.write.bucketBy(self.n, self.key).sortBy(self.key).option("path", scratch_path(self.spark, "texts")).saveAsTable(self.name)
         return self.spark.table(self.name)
 
     def __exit__(self, *_: object) -> None:
