@@ -118,6 +118,15 @@ def test_samples_estimate_similarity():
     assert abs((sampler(*a) == sampler(*b)).mean() - neardup.similarity(a, b)) < 0.05
 
 
+@pytest.mark.parametrize("n", [900, 200_000])
+def test_samples_are_unbiased_in_long_texts(n):
+    s = np.unique(np.random.default_rng(5).integers(0, 1 << 63, n, np.uint64))
+    tf = np.where(np.arange(len(s)) % 2, 2.0, 4.0)
+    a, b = (s, tf), (s, tf * 1.2)
+    sampler = neardup.Sampler(neardup.MORE_SAMPLES, 10)
+    assert abs((sampler(*a) == sampler(*b)).mean() - 1 / 1.2) < 0.045
+
+
 def test_tokens_match_library():
     from tokenizers import Tokenizer
 

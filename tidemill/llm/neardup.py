@@ -44,7 +44,6 @@ BITS = 1 << 26
 #: Keys that the pairs of one node are spread over.
 SALTS = 256
 BASE = 0x9E3779B97F4A7C15
-QUANTILES = 4096
 _HASH = WordHash()
 
 
@@ -119,28 +118,38 @@ class Sampler:
 
     def __init__(self, samples: int = SAMPLES, seed: int = 9) -> None:
         rng = np.random.default_rng(seed)
-        self.mul = rng.integers(0, 1 << 63, samples, np.uint64) * np.uint64(2) + np.uint64(1)
-        self.add = rng.integers(0, 1 << 63, samples, np.uint64)
-        grid = (np.arange(QUANTILES) + 0.5) / QUANTILES
-        x = np.linspace(1e-4, 14, 200_000)
-        gamma = np.interp(grid, 1 - (1 + x) * np.exp(-x), x)  # inverse of the distribution function
-        self.r, self.inverse, self.log_c = gamma.astype(np.float32), (1 / gamma).astype(np.float32), np.log(gamma).astype(np.float32)
+        self.mul = rng.integers(0, 1 << 63, (3, samples, 1), np.uint64) * np.uint64(2) + np.uint64(1)
+        self.add = rng.integers(0, 1 << 63, (3, samples, 1), np.uint64)
+
+    def _uniforms(self, s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Two numbers of 32 bits, between 0 and 1, for each (sample, shingle)."""
+        h = s * self.mul[k]
+        h += self.add[k]
+        h ^= h >> np.uint64(29)
+        h *= np.uint64(0xD6E8FEB86659FD93)
+        h = h.view(np.uint32).astype(np.float32)
+        h += np.float32(0.5)
+        h *= np.float32(2.0**-32)
+        return h[:, ::2], h[:, 1::2]
+
+    def _gamma(self, s: np.ndarray, k: int) -> np.ndarray:
+        """Gamma(2, 1) is the sum of two exponentials; both tails reach far beyond the number of shingles of any text."""
+        u, v = self._uniforms(s, k)
+        x = np.log(u * v)
+        return np.maximum(np.negative(x, out=x), np.float32(1e-9), out=x)
 
     def __call__(self, s: np.ndarray, w: np.ndarray) -> np.ndarray:
         """One 32-bit number for each sample; s must not be empty."""
-        n = len(self.mul)
+        n = self.mul.shape[1]
         best, out = np.full(n, np.inf, np.float32), np.zeros(n, np.uint64)
         log_w = np.log(w).astype(np.float32)
+        rows = np.arange(n)
         for k in range(0, len(s), 512):
-            h = (s[k : k + 512] * self.mul[:, None] + self.add[:, None]) >> np.uint64(20)
-            low = h.astype(np.uint32)
-            i = low & np.uint32(QUANTILES - 1)
-            r = self.r.take(i)
-            beta = (low >> np.uint32(12)).astype(np.float32) * np.float32(2.0**-20)
-            t = np.floor(log_w[k : k + 512] * self.inverse.take(i) + beta)
-            a = self.log_c.take(h >> np.uint64(32)) - r * (t - beta + np.float32(1))
+            x = s[k : k + 512]
+            r, log_c, beta = self._gamma(x, 0), np.log(self._gamma(x, 1)), self._uniforms(x, 2)[0]
+            t = np.floor(log_w[k : k + 512] / r + beta)
+            a = log_c - r * (t - beta + np.float32(1))
             j = a.argmin(1)
-            rows = np.arange(n)
             value = a[rows, j]
             better = value < best
             best[better] = value[better]
