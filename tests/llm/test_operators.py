@@ -118,6 +118,13 @@ def test_samples_estimate_similarity():
     assert abs((sampler(*a) == sampler(*b)).mean() - neardup.similarity(a, b)) < 0.05
 
 
+def test_near_duplicates_of_texts_that_share_an_id(spark):
+    texts = [" ".join(f"{k}x{i}" for i in range(300)) for k in "ab"]
+    rows = [(1, texts[0]), (1, texts[1]), (2, texts[0] + " end"), (3, texts[1] + " end"), (4, "another text of no class at all")]
+    got = neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
+    assert sorted(zip(got.doc_id, got.class_id, got.class_size, strict=True)) == [(1, 1, 4), (1, 1, 4), (2, 1, 4), (3, 1, 4), (4, 4, 1)]
+
+
 @pytest.mark.parametrize("n", [900, 200_000])
 def test_samples_are_unbiased_in_long_texts(n):
     s = np.unique(np.random.default_rng(5).integers(0, 1 << 63, n, np.uint64))

@@ -8,7 +8,7 @@ weigh less than 0.8 of the whole can't be similar to any of them, so it isn't sa
 Each of 48 consistent weighted samples (Ioffe, 2010) is equal in two documents with probability the weighted Jaccard similarity;
 12 bands of 4 samples name the buckets. Pairs are verified by the exact weighted Jaccard similarity, at least 0.8.
 
-Equal texts are one node from the start. Every node is first verified against one other only, the smallest it shares a bucket
+Equal texts are one node from the start, named by 64 bits of the text's digest; ids come in at the end only. Every node is first verified against one other only, the smallest it shares a bucket
 with (linear in the number of nodes); then, where a bucket still holds more than one component, the pairs across components
 that agree well enough in 756 further samples are verified too, so that no link that could join two classes is lost.
 
@@ -66,8 +66,8 @@ class Weigher:
 
 
 def _distinct(part: pd.DataFrame) -> pd.DataFrame:
-    """One row for each text of (id, digest, text, copies): the smallest id, how many documents have the text."""
-    return part.groupby("digest", as_index=False, sort=False).agg({"id": "min", "text": "first", "copies": "sum"})
+    """One row for each text of (digest, text, copies): how many documents have the text."""
+    return part.groupby("digest", as_index=False, sort=False).agg({"text": "first", "copies": "sum"})
 
 
 def _summed(s: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -79,7 +79,7 @@ def _summed(s: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def frequencies(texts: DataFrame, slices: int) -> DataFrame:
-    """Exact document frequencies of (batch, id, digest, text, copies), for each batch: rows (batch, shingles, df) of sorted shingles that
+    """Exact document frequencies of (batch, digest, text, copies), for each batch: rows (batch, shingles, df) of sorted shingles that
     stand in more than one text. A shingle that isn't there stands in one text only, so its frequency is that text's copies.
 
     A batch sends each of its distinct shingles once, with its count, to a slice of the hash range; no task gets more of a common shingle."""
@@ -174,7 +174,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     ship(spark)
     all_rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     rows = all_rows.filter("id is not null and text is not null")
-    ids = stage(rows.select("id", F.unhex(F.md5("text")).alias("digest")), "ids")
+    digest = F.unhex(F.md5("text"))
+    ids = stage(rows.select("id", F.xxhash64(digest).alias("node")), "ids")
     size = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
     parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 100_000)
     batches = max(parts, -(-size["chars"] // BATCH_CHARS))
@@ -196,8 +197,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
                 met = s_known[place] == s
                 w = weigh(tf, np.where(met, df_known[place], x.copies))
                 if len(s) and w[met].sum() >= threshold * w.sum() * (1 - 1e-9):
-                    out.append((x.id, x.digest, sampler(s, w).view(np.int32), x.text, w.tobytes()))
-        return pd.DataFrame(out, columns=["id", "digest", "samples", "text", "weights"])
+                    out.append((x.digest, sampler(s, w).view(np.int32), x.text, w.tobytes()))
+        return pd.DataFrame(out, columns=["digest", "samples", "text", "weights"])
 
     def packed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sampler = Sampler(MORE_SAMPLES, 10)
@@ -205,21 +206,21 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
             found = [(shingles(text)[0], np.frombuffer(w)) for text, w in zip(part.pop("text"), part.pop("weights"), strict=True)]
             yield part.assign(samples=[_packed(sampler(s, w)) for s, w in found])
 
-    dealt = rows.select("id", F.unhex(F.md5("text")).alias("digest"), "text").mapInPandas(once, "digest binary, id long, text string, copies long")
+    dealt = rows.select(digest.alias("digest"), "text").mapInPandas(once, "digest binary, text string, copies long")
     dealt = dealt.withColumn("batch", F.pmod(F.xxhash64("digest"), F.lit(batches)))
     with _Bucketed(dealt, "batch", parts) as dealt:
         known = stage(frequencies(dealt, batches), "frequencies")
-        signed = dealt.groupBy("batch").cogroup(known.groupBy("batch")).applyInPandas(sampled, "id long, digest binary, samples array<int>, text string, weights binary")
-        signed = stage(signed, "samples")
+        signed = dealt.groupBy("batch").cogroup(known.groupBy("batch")).applyInPandas(sampled, "digest binary, samples array<int>, text string, weights binary")
+        signed = stage(signed.select(F.xxhash64("digest").alias("node"), "samples", "text", "weights"), "samples")
         unstage(spark, known)
     band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.slice("samples", k * (SAMPLES // BANDS) + 1, SAMPLES // BANDS)))
-    nodes = stage(signed.select(F.col("id").alias("node"), band.alias("bands")), "nodes")
+    nodes = stage(signed.select("node", band.alias("bands")), "nodes")
     banded = nodes.select("node", F.explode("bands").alias("bucket"))
     full = banded.groupBy("bucket").agg(F.min("node").alias("head"), F.count("*").alias("n")).filter("n > 1").select("bucket", "head")
     filled = stage(banded.join(full, "bucket"), "buckets")
     stars = stage(filled.groupBy("node").agg(F.min("head").alias("head")).filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")), "stars")
     met = filled.select(F.col("node").alias("id")).distinct()
-    some = _likely(signed.select("id", "text", "weights"), met).join(met, "id").dropDuplicates(["id"])  # a semi join would be pushed below the bitmap
+    some = _likely(signed.select(F.col("node").alias("id"), "text", "weights"), met).join(met, "id")  # a semi join would be pushed below the bitmap
     with _Bucketed(some, "id", parts) as texts:
         links = stage(_verified(stars, texts, threshold), "links")
 
@@ -229,7 +230,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
         left = stage(placed.join(split, "bucket"), "left")
         finer = texts.join(left.select(F.col("node").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("node"), "text", "weights")
         finer = stage(finer.mapInPandas(packed, "node long, samples array<long>"), "finer")
-        left = left.join(finer, "node").join(nodes.select("node", "bands").dropDuplicates(["node"]), "node")
+        left = left.join(finer, "node").join(nodes, "node")
         x, y = left.alias("x"), left.alias("y")
         differ = F.aggregate(F.zip_with("x.samples", "y.samples", _unequal_bytes), F.lit(0), lambda s, v: s + v)
         first = F.array_position(F.zip_with("x.bands", "y.bands", lambda p, q: p == q), True)
@@ -239,13 +240,12 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
         links = links.unionByName(stage(_verified(stage(more, "crossing"), texts, threshold), "links"))
 
     # Rows that share an id share a class, whatever their texts.
-    ids = ids.join(ids.groupBy("digest").agg(F.min("id").alias("node")), "digest").select("id", "node")
-    same = ids.filter("id <> node").select(F.col("id").alias("a"), F.col("node").alias("b")).distinct()
-    repeated = same.groupBy("a").count().filter("count > 1").select("a")
-    label = components(links.select("a", "b").unionByName(same.join(repeated, "a")))
-    named = ids.join(label, "node", "left").select("id", F.coalesce("component", "node").alias("class_id"))
-    size = named.groupBy("class_id").agg(F.count("*").alias("class_size"))
-    out = named.join(size, "class_id").select("id", "class_id", "class_size")
+    repeated = ids.groupBy("id").agg(F.min("node").alias("b"), F.max("node").alias("q")).filter("b < q").select("id", "b")
+    same = ids.join(repeated, "id").select(F.col("node").alias("a"), "b").distinct()
+    label = components(links.select("a", "b").unionByName(same))
+    named = ids.join(label, "node", "left").select("id", F.coalesce("component", "node").alias("part"))
+    size = named.groupBy("part").agg(F.min("id").alias("class_id"), F.count("*").alias("class_size"))
+    out = named.join(size, "part").select("id", "class_id", "class_size")
     alone = all_rows.filter("id is null or text is null").select("id", F.col("id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
     return out.unionByName(alone).select(F.col("id").alias(id_col), "class_id", "class_size", F.coalesce(F.col("id") == F.col("class_id"), F.lit(True)).alias("kept"))
 
