@@ -2,7 +2,7 @@
 
 language ID (documents without a language or of too low a likeness go), MinHash near-dedup (the smallest id of each class stays), substring
 dedup (repeated passages go; a document of which nothing is left goes), mixing (a document stands there as
-often as the mix takes it; one that is in service at the end is cut to the words taken), best-fit packing (one row for each piece).
+often as the mix takes it; one that is in service at the end is taken whole if at least half of it was served, else not), best-fit packing (one row for each piece).
 
 All but the last return the columns of documents. Null and empty texts go in the first stage; extra columns are
 dropped; an empty table stays empty.
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.llm import langid, mixing, neardup, packing, substrings
-from tidemill.llm.common import WORD, crc_bucket, stage
+from tidemill.llm.common import crc_bucket, stage
 from tidemill.llm.queries import bpe_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -47,9 +47,8 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_shaped(docs), carry_text=True).filter("taken > 0")
     whole = F.floor(F.col("taken") / F.col("size"))
-    rest = (F.col("taken") - whole * F.col("size")).cast("int")
-    words = F.slice(F.regexp_extract_all("row.text", F.lit(WORD), F.lit(0)), F.lit(1), rest)
-    texts = F.concat(F.array_repeat("row.text", whole.cast("int")), F.when(rest > 0, F.array(F.array_join(words, " "))).otherwise(F.array().cast("array<string>")))
+    rest = F.col("taken") - whole * F.col("size")
+    texts = F.array_repeat("row.text", (whole + F.when(2 * rest >= F.col("size"), 1).otherwise(0)).cast("int"))  # whichever is nearer the target
     ordered = mixed.repartitionByRange("finish").sortWithinPartitions("finish")
     return ordered.select("row", F.explode(texts).alias("text")).select("row.doc_id", "text", "row.lang", "row.source", F.length("text").cast("long").alias("n_chars"))
 

@@ -254,3 +254,15 @@ def test_pipeline(spark):
     assert docs.selectExpr("sum(regexp_count(text, '[^ \\\\t-\\\\r]+')) as w").first()["w"] > 0
     out = p.pack(spark, docs, DIR).toPandas()
     assert isinstance(out, pd.DataFrame) and out.groupby("sequence_id").length.sum().max() <= 2048
+
+
+def test_mix_stage_emits_whole_documents(spark):
+    import corpus_pipeline as p
+
+    docs = spark.createDataFrame([(i, " ".join(f"d{i}w{k}\n" for k in range(50 + 37 * i)), "en", f"s{i % 3}", 1) for i in range(30)], "doc_id long, text string, lang string, source string, n_chars long")
+    want = {r["doc_id"]: r for r in mixing.mix(docs, source_col="source").collect()}
+    whole = docs.toPandas().set_index("doc_id").text
+    got = p.mix_sources(spark, docs, DIR).toPandas()
+    assert all(whole[d] == t for d, t in zip(got.doc_id, got.text, strict=True))
+    n = Counter(got.doc_id)
+    assert all(abs(n[d] * r["size"] - r["taken"]) * 2 <= r["size"] for d, r in want.items())
