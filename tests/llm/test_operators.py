@@ -266,3 +266,16 @@ def test_mix_stage_emits_whole_documents(spark):
     assert all(whole[d] == t for d, t in zip(got.doc_id, got.text, strict=True))
     n = Counter(got.doc_id)
     assert all(abs(n[d] * r["size"] - r["taken"]) * 2 <= r["size"] for d, r in want.items())
+
+
+def test_language_stage_rejects_random_letters_and_keeps_clean_texts(spark):
+    import corpus_pipeline as p
+
+    rng = np.random.default_rng(2)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select(p.COLUMNS)
+    noise = [" ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(60)) for _ in range(300)]
+    rows = [(-1 - i, t, None, "s", len(t)) for i, t in enumerate([*noise, "Osra\u00f1."])]
+    got = p.language_id(spark, docs.unionByName(spark.createDataFrame(rows, docs.schema)), DIR).toPandas().doc_id
+    clean = docs.filter("text rlike '[A-Za-z]'").count()
+    assert (got < 0).sum() <= 0.1 * len(noise) and (got >= 0).sum() >= 0.99 * clean
+    print((got < 0).sum(), (got >= 0).sum(), clean)
