@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.llm.common import WordHash, components, mix64, rolling, scratch_path, ship, stage, unstage
@@ -210,6 +210,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     dealt = dealt.withColumn("batch", F.pmod(F.xxhash64("digest"), F.lit(batches)))
     with _Bucketed(dealt, "batch", parts) as dealt:
         known = stage(frequencies(dealt, batches), "frequencies")
+        _clean(spark)
         signed = dealt.groupBy("batch").cogroup(known.groupBy("batch")).applyInPandas(sampled, "digest binary, samples array<int>, text string, weights binary")
         signed = stage(signed.select(F.xxhash64("digest").alias("node"), "samples", "text", "weights"), "samples")
         unstage(spark, known)
@@ -299,6 +300,11 @@ def _likely(rows: DataFrame, ids: DataFrame) -> DataFrame:
     return met.filter(F.getbit(byte, (bit % 8).cast("int")) == 1).select(*rows.columns)
 
 
+def _clean(spark: SparkSession) -> None:
+    """Shuffle files that nothing reads any more go when the driver collects garbage, which may be long after; texts and shingles shouldn't wait."""
+    spark._jvm.System.gc()
+
+
 class _Bucketed:
     """Rows as a table in buckets of a key, in the shared folder: later joins and groups on the key don't move the rows again."""
 
@@ -309,6 +315,7 @@ class _Bucketed:
     def __enter__(self) -> DataFrame:
         rows = self.rows.repartition(self.n, self.key)
         rows.write.bucketBy(self.n, self.key).sortBy(self.key).option("path", scratch_path(self.spark, "texts")).saveAsTable(self.name)
+        _clean(self.spark)
         return self.spark.table(self.name)
 
     def __exit__(self, *_: object) -> None:
