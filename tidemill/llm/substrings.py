@@ -2,9 +2,10 @@
 
 Pass 1. Each task sketches its documents. A window is counted under its minimizer, the smallest hash of the 8-word grams
 within it: equal windows have equal minimizers, so the count of a minimizer is never below that of the window.
-The sketch has ``shards`` x 2**32 cells and is sent sparsely: for each shard the cells counted once and those counted
-more often. Merged over all tasks, cells counted at least twice are hot.
-The hot cells are folded into a bitmap of bounded size (at most ``MAX_BITS``; if a corpus outgrows it, more windows pass
+The sketch has ``ROWS`` rows of ``shards`` x 2**32 counters that stop at two; shards grow with the text (``SHARD_BYTES``), so no task merges more than
+its share. It is sent sparsely: for each row and shard the cells counted once and those counted
+more often. Merged over all tasks, the estimate of a minimizer is the least of its cells in all rows; it never falls short.
+The cells counted at least twice are folded into a bitmap a row, of bounded size (at most ``MAX_BITS`` together; if a corpus outgrows it, more windows pass
 and the result stays the same).
 
 Pass 2. Windows whose minimizer is hot are grouped exactly by a 96-bit hash. Each task keeps its first occurrence of
@@ -26,20 +27,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import WordHash, mix64, rolling, ship, stage
+from tidemill.llm.common import lean, mix64, rolling, ship, stage, unstage, word_ids
 
 WINDOW, GRAM = 20, 8
-SHARDS = 256
+#: Rows of the sketch; bytes of text for each shard, of which there is a power of two between the two bounds.
+ROWS, SHARD_BYTES, LEAST_SHARDS, MOST_SHARDS = 2, 1 << 24, 32, 1 << 20
 #: Windows that a task holds before it sends the first of each.
 SEND_ROWS = 1_500_000
 MIN_BITS, MAX_BITS, BITS_PER_HOT = 1 << 20, 1 << 30, 64
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)  # odd multipliers (fixed values)
 LAST = (1 << 63) - 1
-_HASH = WordHash()
-
-
-def word_ids(text: str | None) -> np.ndarray:
-    return _HASH.of((text or "").encode("utf-8", "surrogatepass").split())
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -60,73 +57,103 @@ def minimizers(ids: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.nd
     return grams, sliding_min(grams, window - GRAM + 1)
 
 
-def _cells(v: np.ndarray) -> np.ndarray:
-    """Shard (high 32 bits) and cell (low 32 bits) of minimizers, as one number."""
-    return ((v >> np.uint64(56)) << np.uint64(32)) | ((v >> np.uint64(16)) & np.uint64(0xFFFFFFFF))
+def _cells(v: np.ndarray, row: int, shards: int) -> np.ndarray:
+    """Shard and cell (low 32 bits) of minimizers in a row of the sketch, as one number."""
+    shard = (v >> np.uint64(32)) & np.uint64(shards - 1)
+    cell = v if row == 0 else mix64(v + np.uint64(row) * np.uint64(BASES[1]))
+    return (shard << np.uint64(32)) | (cell & np.uint64(0xFFFFFFFF))
+
+
+def shards_for(size: int) -> int:
+    shards = LEAST_SHARDS
+    while shards < min(MOST_SHARDS, size // SHARD_BYTES):
+        shards *= 2
+    return shards
 
 
-def sketch(rows: DataFrame) -> DataFrame:
-    """Merged sketch of (text): one row for each shard, (shard, n, cells): its hot cells, sorted."""
+def sketch(rows: DataFrame, shards: int) -> DataFrame:
+    """Merged sketch of (text): (row, shard, n, cells), the cells counted at least twice, sorted."""
 
     def part_sketch(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         once, often = [], []
         for part in parts:
-            for text in part["text"]:
-                grams, low = minimizers(word_ids(text))
+            for ids in word_ids(part["text"]):
+                grams, low = minimizers(ids)
                 if len(low):
-                    v, n = np.unique(grams, return_counts=True)
-                    again = n[np.searchsorted(v, u := np.unique(low))] > 1
-                    once.append(_cells(u))
-                    often.append(_cells(u[again]))
+                    grams.sort()
+                    u = np.unique(low)
+                    again = np.searchsorted(grams, u, "right") - np.searchsorted(grams, u) > 1
+                    once.append(u)
+                    often.append(u[again])
         if not once:
             return
-        v, n = np.unique(np.concatenate(once), return_counts=True)
-        many = np.union1d(v[n > 1], np.concatenate(often))
-        v = np.setdiff1d(v[n == 1], many, assume_unique=True)
-        shards = np.arange(SHARDS + 1, dtype=np.uint64) << np.uint64(32)
-        a, b = np.searchsorted(v, shards), np.searchsorted(many, shards)
-        v, many = v.astype("<u4"), many.astype("<u4")
-        yield pd.DataFrame({"shard": range(SHARDS), "once": [v[a[k] : a[k + 1]].tobytes() for k in range(SHARDS)], "often": [many[b[k] : b[k + 1]].tobytes() for k in range(SHARDS)]})
+        once, often = np.concatenate(once), np.concatenate(often)
+        edges = np.arange(shards + 1, dtype=np.uint64) << np.uint64(32)
+        for row in range(ROWS):
+            cells = _cells(once, row, shards)
+            cells.sort()
+            many = np.union1d(cells[1:][cells[1:] == cells[:-1]], _cells(often, row, shards))
+            new = np.ones(len(cells), bool)
+            new[1:] = cells[1:] != cells[:-1]
+            cells = np.setdiff1d(cells[new], many, assume_unique=True)
+            a, b = np.searchsorted(cells, edges), np.searchsorted(many, edges)
+            cells, many = cells.astype("<u4"), many.astype("<u4")
+            some = np.flatnonzero((np.diff(a) > 0) | (np.diff(b) > 0)).tolist()
+            yield pd.DataFrame({"row": row, "shard": some, "once": [cells[a[k] : a[k + 1]].tobytes() for k in some], "often": [many[b[k] : b[k + 1]].tobytes() for k in some]})
 
     def merge(part: pd.DataFrame) -> pd.DataFrame:
-        v, n = np.unique(np.frombuffer(b"".join(part["once"]), "<u4"), return_counts=True)
-        often = np.unique(np.frombuffer(b"".join(part["often"]), "<u4"))
-        hot = np.union1d(v[n > 1], often).astype("<u4")
-        return pd.DataFrame({"shard": part["shard"][:1], "n": [len(hot)], "cells": [hot.tobytes()]})
+        v = np.frombuffer(b"".join(part["once"]), "<u4").copy()
+        v.sort()
+        hot = np.union1d(v[1:][v[1:] == v[:-1]], np.frombuffer(b"".join(part["often"]), "<u4")).astype("<u4")
+        return pd.DataFrame({"row": part["row"][:1], "shard": part["shard"][:1], "n": [len(hot)], "cells": [hot.tobytes()]})
 
-    return rows.mapInPandas(part_sketch, "shard int, once binary, often binary").groupBy("shard").applyInPandas(merge, "shard int, n long, cells binary")
+    sent = rows.mapInPandas(lean(part_sketch), "row int, shard int, once binary, often binary")
+    return sent.groupBy("row", "shard").applyInPandas(lean(merge), "row int, shard int, n long, cells binary")
 
 
-def hot_bitmap(hot: DataFrame) -> tuple[int, bytes]:
-    """(bits, bitmap) of hot cells: each shard owns one slice, so the driver gets just ``bits`` bits."""
+def hot_bitmap(hot: DataFrame, shards: int) -> tuple[int, bytes]:
+    """(bits of a shard's slice, bitmap): for each row a bitmap of hot cells, in which each shard owns one slice; the driver gets just the bits."""
     total = hot.agg(F.sum("n")).first()[0] or 0
     bits = MIN_BITS
     while bits < min(MAX_BITS, total * BITS_PER_HOT):
         bits *= 2
-    each = bits // SHARDS
+    each = max(8, bits // ROWS // shards)
 
     def fold(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            for shard, cells in zip(part["shard"], part["cells"], strict=True):
+            for row, shard, cells in zip(part["row"], part["shard"], part["cells"], strict=True):
                 flags = np.zeros(each, np.uint8)
                 flags[np.frombuffer(cells, "<u4") % each] = 1
-                yield pd.DataFrame({"shard": [shard], "slice": [np.packbits(flags, bitorder="little").tobytes()]})
+                yield pd.DataFrame({"slot": [row * shards + shard], "slice": [np.packbits(flags, bitorder="little").tobytes()]})
 
-    out = bytearray(bits // 8)
-    for r in hot.select("shard", "cells").mapInPandas(fold, "shard int, slice binary").toLocalIterator():
-        out[r["shard"] * each // 8 : (r["shard"] + 1) * each // 8] = r["slice"]
-    return bits, bytes(out)
+    out = bytearray(ROWS * shards * each // 8)
+    for r in hot.select("row", "shard", "cells").mapInPandas(fold, "slot long, slice binary").toLocalIterator():
+        out[r["slot"] * each // 8 : (r["slot"] + 1) * each // 8] = r["slice"]
+    return each, bytes(out)
+
+
+def passing(low: np.ndarray, flags: np.ndarray, each: int, shards: int) -> np.ndarray:
+    """Which minimizers the sketch estimates as repeated: their cells are hot in all rows."""
+    out = np.ones(len(low), bool)
+    for row in range(ROWS):
+        c = _cells(low, row, shards)
+        bit = (row * shards + (c >> np.uint64(32)).astype(np.int64)) * each + ((c & np.uint64(0xFFFFFFFF)) % np.uint64(each)).astype(np.int64)
+        out &= (flags[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)
+    return out
 
 
 def repeated_windows(rows: DataFrame) -> DataFrame:
     """From (id, tie, text): (id, tie, starts, more): the starts of windows whose words also start earlier, as numbers and as blobs of numbers."""
     spark = rows.sparkSession
     ship(spark)
-    bits, bitmap = hot_bitmap(stage(sketch(rows.select("text")), "hot"))
+    shards = shards_for(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    hot = stage(sketch(rows.select("text"), shards), "hot")
+    each, bitmap = hot_bitmap(hot, shards)
+    unstage(spark, hot)
     shared = spark.sparkContext.broadcast(bitmap)
 
     def find(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        flags, each = np.frombuffer(shared.value, np.uint8), bits // SHARDS
+        flags = np.frombuffer(shared.value, np.uint8)
         kind = np.dtype([("hi", "<i8"), ("lo", "<i4"), ("id", "<i8"), ("tie", "<i4"), ("start", "<i4")])
 
         def send(found: list[np.ndarray]) -> Iterator[pd.DataFrame]:
@@ -148,14 +175,11 @@ def repeated_windows(rows: DataFrame) -> DataFrame:
         found: list[np.ndarray] = []
         held = 0
         for part in parts:
-            for doc, tie, text in zip(part["id"], part["tie"], part["text"], strict=True):
-                ids = word_ids(text)
+            for doc, tie, ids in zip(part["id"], part["tie"], word_ids(part["text"]), strict=True):
                 _, low = minimizers(ids)
                 if not len(low):
                     continue
-                c = _cells(low)
-                bit = (c >> np.uint64(32)).astype(np.int64) * each + (c & np.uint64(0xFFFFFFFF)).astype(np.int64) % each
-                starts = np.flatnonzero(flags[bit >> 3] >> (bit & 7).astype(np.uint8) & 1)
+                starts = np.flatnonzero(passing(low, flags, each, shards))
                 if len(starts):
                     x = np.empty(len(starts), kind)
                     x["hi"] = mix64(rolling(ids, WINDOW, BASES[1])[starts]).view(np.int64)
@@ -169,7 +193,7 @@ def repeated_windows(rows: DataFrame) -> DataFrame:
         if found:
             yield from send(found)
 
-    found = rows.mapInPandas(find, "hi long, lo int, id long, tie int, start int, starts binary")
+    found = rows.mapInPandas(lean(find), "hi long, lo int, id long, tie int, start int, starts binary")
     order = Window.partitionBy("hi", "lo").orderBy("id", "tie", "start")  # a row for each task that has the window
     late = found.withColumn("rank", F.rank().over(order)).filter("rank > 1 or starts is not null")
     return late.groupBy("id", "tie").agg(F.collect_list(F.when(F.col("start") >= 0, F.col("start"))).alias("starts"), F.collect_list("starts").alias("more"))
@@ -219,7 +243,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         schema = docs.select(F.col(f"`{id_col}`")).withColumns({"n_words": F.lit(0).cast("long"), "n_removed": F.lit(0).cast("long"), "kept_sha256": F.lit("")}).schema
     else:
         schema = docs.schema
-    return joined.mapInPandas(work, schema)
+    return joined.mapInPandas(lean(work), schema)
 
 
 REPEATS_SQL = r"""
