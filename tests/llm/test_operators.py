@@ -80,11 +80,10 @@ def test_substrings_brute_force(spark):
 def test_near_duplicates_brute_force(docs):
     got = neardup.classes(docs).toPandas().set_index("doc_id").class_id
     rows = docs.toPandas().set_index("doc_id").text
-    df = Counter(x for t in rows for x in neardup.shingles(t)[0].tolist())
+    df = Counter(x for s, _ in neardup.shingles(rows) for x in s.tolist())
     n = len(rows)
     sets = {}
-    for i, t in rows.items():
-        s, tf = neardup.shingles(t)
+    for i, (s, tf) in zip(rows.index, neardup.shingles(rows), strict=True):
         sets[i] = s, tf * (1 + np.array([1 - np.log(df[x]) / np.log(n) for x in s.tolist()]))
     clear, linked = 0, 0
     for i in rows.index:

@@ -1,6 +1,6 @@
 """Near-duplicates by improved consistent weighted sampling over TF-IDF shingles.
 
-A document is the weighted set of its 5-word shingles (words of the lower-case text between white space; a shorter text is one
+A document is the weighted set of its 5-word shingles (words of the lower-case text between ASCII white space; a shorter text is one
 shingle), weight tf x (1 + idf), idf = ln(N / df) / ln N between 0 and 1. Document frequencies are exact, for samples and
 verification alike: texts are dealt into batches, batches send their distinct shingles to slices of the hash range, and
 get back the frequencies of those that stand in more than one text. A text whose shingles that also stand in other texts
@@ -8,8 +8,8 @@ weigh less than 0.8 of the whole can't be similar to any of them, so it isn't sa
 Each of 48 consistent weighted samples (Ioffe, 2010) is equal in two documents with probability the weighted Jaccard similarity;
 12 bands of 4 samples name the buckets. Pairs are verified by the exact weighted Jaccard similarity, at least 0.8.
 
-Equal texts are one node from the start, named by 64 bits of the text's digest; ids come in at the end only. Every node is first verified against one other only, the smallest it shares a bucket
-with (linear in the number of nodes); then, where a bucket still holds more than one component, the pairs across components
+Equal texts are one node from the start, named by 64 bits of the text's digest; ids come in at the end only. Every node is first verified against one other only, of those that it shares a bucket
+with the one in the most and fullest buckets (linear in the number of nodes); then, where a bucket still holds more than one component, the pairs across components
 that agree well enough in 756 further samples are verified too, so that no link that could join two classes is lost.
 
 Defined results: one row for each document: id, class_id (the smallest id of its class), class_size, kept (id =
@@ -21,14 +21,14 @@ from __future__ import annotations
 
 import uuid
 from collections import OrderedDict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import WordHash, components, mix64, rolling, scratch_path, ship, stage, unstage
+from tidemill.llm.common import components, join_hot, lean, mix64, rolling, scratch_path, ship, stage, unstage, word_ids
 
 WORDS, THRESHOLD = 5, 0.8
 SAMPLES, BANDS = 48, 12
@@ -41,18 +41,21 @@ PER_LONG, LOW, HIGH = 7, 0x7F7F7F7F7F7F7F, 0x80808080808080
 AGREE = THRESHOLD - 4 * (THRESHOLD * (1 - THRESHOLD) / MORE_SAMPLES) ** 0.5
 #: Bits of the map of ids that stand in some bucket (8 MB).
 BITS = 1 << 26
+#: Nodes in a block; a bucket of more is compared block by block.
+TILE = 1024
 #: Keys that the pairs of one node are spread over.
 SALTS = 256
 BASE = 0x9E3779B97F4A7C15
-_HASH = WordHash()
 
 
-def shingles(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted distinct shingle hashes, how often each occurs); empty without words."""
-    ids = _HASH.of((text or "").lower().split())
-    if not len(ids):
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    return np.unique(mix64(rolling(ids, min(WORDS, len(ids)), BASE)), return_counts=True)
+def shingles(texts: Iterable[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each text (sorted distinct shingle hashes, how often each occurs); empty without words."""
+    for ids in word_ids(texts, lower=True):
+        if len(ids):
+            s = mix64(rolling(ids, min(WORDS, len(ids)), BASE))
+            yield _summed(s, np.ones(len(s), np.int64))
+        else:
+            yield np.empty(0, np.uint64), np.empty(0, np.int64)
 
 
 class Weigher:
@@ -86,7 +89,7 @@ def frequencies(texts: DataFrame, slices: int) -> DataFrame:
 
     def count(part: pd.DataFrame) -> pd.DataFrame:
         batch, part = part["batch"].iloc[0], _distinct(part)
-        found = [shingles(text)[0] for text in part["text"]]
+        found = [s for s, _ in shingles(part["text"])]
         s, n = np.concatenate(found), np.repeat(part["copies"].to_numpy(np.int64), [len(x) for x in found])
         if not len(s):
             return pd.DataFrame({"slice": [], "batch": [], "shingles": [], "df": [], "texts": []})
@@ -109,8 +112,8 @@ def frequencies(texts: DataFrame, slices: int) -> DataFrame:
                 out.append((batch, s[place].tobytes(), df[place].tobytes()))
         return pd.DataFrame(out, columns=["batch", "shingles", "df"])
 
-    sent = texts.groupBy("batch").applyInPandas(count, "slice long, batch long, shingles binary, df binary, texts binary")
-    return sent.groupBy("slice").applyInPandas(merge, "batch long, shingles binary, df binary")
+    sent = texts.groupBy("batch").applyInPandas(lean(count), "slice long, batch long, shingles binary, df binary, texts binary")
+    return sent.groupBy("slice").applyInPandas(lean(merge), "batch long, shingles binary, df binary")
 
 
 class Sampler:
@@ -191,34 +194,36 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
         s_known, df_known = s_known[order], df_known[order]
         sampler, out = Sampler(SAMPLES, 9), []
         if len(part) and len(s_known):
-            for x in _distinct(part).itertuples():
-                s, tf = shingles(x.text)
+            part = _distinct(part)
+            for x, (s, tf) in zip(part.itertuples(), shingles(part["text"]), strict=True):
+                if not len(s):
+                    continue
                 place = np.searchsorted(s_known, s).clip(max=len(s_known) - 1)
                 met = s_known[place] == s
                 w = weigh(tf, np.where(met, df_known[place], x.copies))
-                if len(s) and w[met].sum() >= threshold * w.sum() * (1 - 1e-9):
+                if w[met].sum() >= threshold * w.sum() * (1 - 1e-9):
                     out.append((x.digest, sampler(s, w).view(np.int32), x.text, w.tobytes()))
         return pd.DataFrame(out, columns=["digest", "samples", "text", "weights"])
 
     def packed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sampler = Sampler(MORE_SAMPLES, 10)
         for part in parts:
-            found = [(shingles(text)[0], np.frombuffer(w)) for text, w in zip(part.pop("text"), part.pop("weights"), strict=True)]
-            yield part.assign(samples=[_packed(sampler(s, w)) for s, w in found])
+            found = zip(shingles(part.pop("text")), part.pop("weights"), strict=True)
+            yield part.assign(samples=[_packed(sampler(s, np.frombuffer(w))) for (s, _), w in found])
 
-    dealt = rows.select(digest.alias("digest"), "text").mapInPandas(once, "digest binary, text string, copies long")
+    dealt = rows.select(digest.alias("digest"), "text").mapInPandas(lean(once), "digest binary, text string, copies long")
     dealt = dealt.withColumn("batch", F.pmod(F.xxhash64("digest"), F.lit(batches)))
     with _Bucketed(dealt, "batch", parts) as dealt:
         known = stage(frequencies(dealt, batches), "frequencies")
         _clean(spark)
-        signed = dealt.groupBy("batch").cogroup(known.groupBy("batch")).applyInPandas(sampled, "digest binary, samples array<int>, text string, weights binary")
+        signed = dealt.groupBy("batch").cogroup(known.groupBy("batch")).applyInPandas(lean(sampled), "digest binary, samples array<int>, text string, weights binary")
         signed = stage(signed.select(F.xxhash64("digest").alias("node"), "samples", "text", "weights"), "samples")
         unstage(spark, known)
     band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.slice("samples", k * (SAMPLES // BANDS) + 1, SAMPLES // BANDS)))
     nodes = stage(signed.select("node", band.alias("bands")), "nodes")
     banded = nodes.select("node", F.explode("bands").alias("bucket"))
-    full = banded.groupBy("bucket").agg(F.min("node").alias("head"), F.count("*").alias("n")).filter("n > 1").select("bucket", "head")
-    filled = stage(banded.join(full, "bucket"), "buckets")
+    full = stage(banded.groupBy("bucket").agg(F.min("node").alias("head"), F.count("*").alias("n")).filter("n > 1"), "heads")
+    filled = stage(join_hot(banded, full, "bucket", "n", BANDS * nodes.count()), "buckets")
     stars = stage(filled.groupBy("node").agg(F.min("head").alias("head")).filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")), "stars")
     met = filled.select(F.col("node").alias("id")).distinct()
     some = _likely(signed.select(F.col("node").alias("id"), "text", "weights"), met).join(met, "id")  # a semi join would be pushed below the bitmap
@@ -227,26 +232,30 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
 
         label = components(links)
         placed = stage(filled.join(label, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("part")), "placed")
-        split = placed.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p < q").select("bucket")
-        left = stage(placed.join(split, "bucket"), "left")
+        split = placed.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("n")).filter("p < q").select("bucket", "n", F.ceil(F.col("n") / TILE).alias("blocks"))
+        left = stage(join_hot(placed, stage(split, "split"), "bucket", "n", placed.count()), "left")
         finer = texts.join(left.select(F.col("node").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("node"), "text", "weights")
-        finer = stage(finer.mapInPandas(packed, "node long, samples array<long>"), "finer")
-        left = left.join(finer, "node").join(nodes, "node")
-        x, y = left.alias("x"), left.alias("y")
+        finer = stage(finer.mapInPandas(lean(packed), "node long, samples array<long>"), "finer")
+        left = left.join(finer, "node").join(nodes, "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+        every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)  # a crowded bucket is many tiles, pairs of blocks, each a key of its own
+        x = left.withColumn("tile", F.explode(F.transform(every, lambda k: F.struct(F.col("block").alias("i"), k.alias("j"))))).alias("x")
+        y = left.withColumn("tile", F.explode(F.transform(every, lambda k: F.struct(k.alias("i"), F.col("block").alias("j"))))).alias("y")
         differ = F.aggregate(F.zip_with("x.samples", "y.samples", _unequal_bytes), F.lit(0), lambda s, v: s + v)
         first = F.array_position(F.zip_with("x.bands", "y.bands", lambda p, q: p == q), True)
         met = F.col("x.bucket") == F.element_at("x.bands", first.cast("int"))  # of the buckets that two nodes share, the first one makes the pair
-        crossing = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.part") < F.col("y.part")) & met & (differ <= (1 - AGREE) * MORE_SAMPLES))
-        more = crossing.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).join(stars, ["a", "b"], "left_anti")
+        crossing = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.tile") == F.col("y.tile")) & (F.col("x.part") < F.col("y.part")) & met & (differ <= (1 - AGREE) * MORE_SAMPLES))
+        more = crossing.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
         links = links.unionByName(stage(_verified(stage(more, "crossing"), texts, threshold), "links"))
 
     # Rows that share an id share a class, whatever their texts.
-    repeated = ids.groupBy("id").agg(F.min("node").alias("b"), F.max("node").alias("q")).filter("b < q").select("id", "b")
-    same = ids.join(repeated, "id").select(F.col("node").alias("a"), "b").distinct()
+    repeated = ids.groupBy("id").agg(F.min("node").alias("b"), F.max("node").alias("q"), F.count("*").alias("n")).filter("b < q").select("id", "b", "n")
+    same = join_hot(ids, stage(repeated, "repeated"), "id", "n", size["n"]).select(F.col("node").alias("a"), "b").distinct()
     label = components(links.select("a", "b").unionByName(same))
-    named = ids.join(label, "node", "left").select("id", F.coalesce("component", "node").alias("part"))
-    size = named.groupBy("part").agg(F.min("id").alias("class_id"), F.count("*").alias("class_size"))
-    out = named.join(size, "part").select("id", "class_id", "class_size")
+    held = ids.groupBy("node").agg(F.min("id").alias("low"), F.count("*").alias("n")).join(label, "node", "left")
+    held = stage(held.select("node", "low", "n", F.coalesce("component", "node").alias("part")), "held")
+    sizes = stage(held.groupBy("part").agg(F.min("low").alias("class_id"), F.sum("n").alias("class_size"), F.count("*").alias("nodes")), "sizes")
+    of_node = stage(join_hot(held, sizes, "part", "nodes", held.count()).select("node", "n", "class_id", "class_size"), "classes")
+    out = join_hot(ids, of_node, "node", "n", size["n"]).select("id", "class_id", "class_size")
     alone = all_rows.filter("id is null or text is null").select("id", F.col("id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
     return out.unionByName(alone).select(F.col("id").alias(id_col), "class_id", "class_size", F.coalesce(F.col("id") == F.col("class_id"), F.lit(True)).alias("kept"))
 
@@ -272,7 +281,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
 
         def of(doc: int, text: str, weights: bytes) -> tuple[np.ndarray, np.ndarray]:
             if doc not in seen:
-                seen[doc] = shingles(text)[0], np.frombuffer(weights)
+                seen[doc] = next(shingles([text]))[0], np.frombuffer(weights)
                 if len(seen) > 64:
                     seen.popitem(last=False)
             return seen[doc]
@@ -287,7 +296,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
     heads = salted.select("a", "salt").distinct()
     ta = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"), F.col("weights").alias("wa")).join(heads, "a")
     tb = texts.select(F.col("id").alias("b"), F.col("text").alias("tb"), F.col("weights").alias("wb")).join(salted, "b")
-    return tb.join(ta, ["a", "salt"]).mapInPandas(check, "a long, b long, similarity double")
+    return tb.join(ta, ["a", "salt"]).mapInPandas(lean(check), "a long, b long, similarity double")
 
 
 def _likely(rows: DataFrame, ids: DataFrame) -> DataFrame:
