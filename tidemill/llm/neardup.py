@@ -222,9 +222,15 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.slice("samples", k * (SAMPLES // BANDS) + 1, SAMPLES // BANDS)))
     nodes = stage(signed.select("node", band.alias("bands")), "nodes")
     banded = nodes.select("node", F.explode("bands").alias("bucket"))
-    full = stage(banded.groupBy("bucket").agg(F.min("node").alias("head"), F.count("*").alias("n")).filter("n > 1"), "heads")
-    filled = stage(join_hot(banded, full, "bucket", "n", BANDS * nodes.count()), "buckets")
-    stars = stage(filled.groupBy("node").agg(F.min("head").alias("head")).filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")), "stars")
+    full = stage(banded.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").withColumn("size", F.col("n")), "full")
+    total = BANDS * nodes.count()
+    filled = stage(join_hot(banded, full, "bucket", "n", total), "buckets")
+    # The text that others were made from shares more buckets with them than they do with each other: it is the best one to compare them with.
+    central = F.struct("central", "node")
+    weighed = filled.join(filled.groupBy("node").agg(F.sum("size").alias("central")), "node")
+    heads = stage(weighed.groupBy("bucket").agg(F.max(central).alias("head"), F.count("*").alias("n")), "heads")
+    stars = join_hot(filled.select("bucket", "node"), heads, "bucket", "n", total).groupBy("node").agg(F.max("head")["node"].alias("a"))
+    stars = stage(stars.filter("node <> a").select("a", F.col("node").alias("b")), "stars")
     met = filled.select(F.col("node").alias("id")).distinct()
     some = _likely(signed.select(F.col("node").alias("id"), "text", "weights"), met).join(met, "id")  # a semi join would be pushed below the bitmap
     with _Bucketed(some, "id", parts) as texts:
