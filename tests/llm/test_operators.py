@@ -156,12 +156,49 @@ def test_packing(docs):
         assert got[got.doc_id == i].length.sum() == len(ids)
 
 
-def test_plan_is_close_to_best_fit_decreasing():
+def bulk_best_fit(lengths, capacity):
+    """(rounds of) brute force: in each round the longest first, every document takes the smallest unused gap that holds it."""
+    left, gaps, where = sorted(((n, i) for i, n in enumerate(lengths)), key=lambda x: (-x[0], x[1])), {}, {}
+    moved = False
+    while left:
+        if not moved:
+            gaps |= {len(gaps) + k: capacity for k in range(-(-sum(n for n, _ in left) // capacity))}
+        unused, rest, moved = dict(gaps), [], False
+        for n, i in left:
+            # Of equal gaps the one with the largest number is the last that the sweep passed.
+            fits = [(room, -seq) for seq, room in unused.items() if room >= n]
+            if fits:
+                room, seq = min(fits)
+                del unused[-seq]
+                where[i] = -seq, capacity - room
+                gaps[-seq] = room - n
+                moved = True
+            else:
+                rest.append((n, i))
+        left = rest
+    return where
+
+
+@pytest.mark.parametrize("range_rows", [40, 1000])
+def test_best_fit_rounds_equal_brute_force(spark, range_rows):
     rng = np.random.default_rng(0)
-    counts = np.bincount(rng.integers(1, 2049, 5000), minlength=2049)
-    runs = packing.plan(counts)
+    lengths = [*rng.integers(1, 100, 120).tolist(), *[37] * 60, *[99] * 20]  # a hot length in many ranges
+    docs = spark.createDataFrame(list(enumerate(lengths)), "key long, size long")
+    got = {r["key"]: (r["sequence"], r["offset"]) for r in packing.best_fit(docs, 100, range_rows).collect()}
+    want = bulk_best_fit(lengths, 100)
+    assert {i: x[1] for i, x in got.items()} == {i: x[1] for i, x in want.items()} and len({x[0] for x in got.values()}) == len({x[0] for x in want.values()})
+    used = Counter()
+    for i, (seq, _) in got.items():
+        used[seq] += lengths[i]
+    assert max(used.values()) <= 100
+    assert packing.best_fit(docs.limit(0), 100).count() == 0
+
+
+def test_rounds_are_close_to_best_fit_decreasing(spark):
+    rng = np.random.default_rng(0)
+    lengths = rng.integers(1, 2048, 3000)
     free, opened = [], 0
-    for n in np.repeat(np.arange(2049), counts)[::-1].tolist():
+    for n in np.sort(lengths)[::-1].tolist():
         fits = [g for g in free if g >= n]
         if fits:
             g = min(fits)
@@ -169,7 +206,8 @@ def test_plan_is_close_to_best_fit_decreasing():
         else:
             g, opened = 2048, opened + 1
         free.append(g - n)
-    assert sum(r[2] for r in runs) == 5000 and len({r[3] + i for r in runs for i in range(r[2])}) <= opened * 1.01
+    docs = spark.createDataFrame(list(enumerate(lengths.tolist())), "key long, size long")
+    assert packing.best_fit(docs).select("sequence").distinct().count() <= opened * 1.02
 
 
 def test_learned_models(docs, spark):
