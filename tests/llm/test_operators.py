@@ -265,6 +265,25 @@ def test_warc(spark, tmp_path):
     assert len(warc.round_trip(pages.limit(0)).toPandas()) == 0
 
 
+def test_warc_query_of_planted_revisits(spark):
+    rng = np.random.default_rng(6)
+    body = lambda k, n: f"<p>{k}</p>\r\n\r\n" * n
+    rows = [(i, f"http://h/{i}", body(int(rng.integers(0, 9)), int(rng.integers(40, 160)) // 40 * 40)) for i in range(300)]
+    rows += [(1000 + i, None, body("hot", 300)) for i in range(150)] + [(2000, "u", None), (2001, "u", ""), (2002, "u", "x" * 5_000_000), (2003, "u", "é" * 600)]
+    pages = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, original long")
+    got = warc.round_trip(pages).toPandas().set_index("page_id").sort_index()
+    last = {}
+    for i, _, h in rows:
+        last[h or ""] = max(i, last.get(h or "", i))
+    for i, _, h in rows:
+        b = (h or "").encode()
+        to = last[h or ""] if len(b) >= 1000 and last[h or ""] != i else None
+        r = got.loc[i]
+        assert (r.payload_bytes, r.payload_digest, r.record_type) == (len(b), hashlib.sha1(b).hexdigest(), "revisit" if to else "response")
+        assert pd.isna(r.refers_to) if to is None else r.refers_to == to
+    assert (got.record_type == "revisit").sum() > 250
+
+
 def test_preferences(spark):
     turn = lambda r, t: {"turn": 0, "role": r, "text": t}
     schema = "id long, chosen array<struct<turn long, role string, text string>>, rejected array<struct<turn long, role string, text string>>"

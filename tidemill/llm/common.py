@@ -22,6 +22,8 @@ ROOT = Path(__file__).resolve().parents[2]
 CACHE_WORDS = 300_000
 #: Keys that hold more than one row in so many are joined by broadcast; there can't be more such keys than that.
 HOT = 1024
+#: Bits of the map that ``likely`` broadcasts (8 MB).
+BITS = 1 << 26
 #: Words are runs of anything but these six ASCII characters; bytes.split() uses the same six.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -258,6 +260,19 @@ def join_hot(rows: DataFrame, facts: DataFrame, key: str, size: str, total: int,
     return mine.unionByName(rest)
 
 
+def likely(rows: DataFrame, keys: DataFrame, key: str, others: bool = False) -> DataFrame:
+    """Rows whose key may be among the keys (with ``others``: those whose key surely isn't), by a bitmap of ``BITS`` hashed keys that is broadcast: it keeps most other rows
+    out of a shuffle that follows. Its size is fixed, whatever the data; when it is full it tells nothing apart and all rows go into that exact join."""
+    place = F.pmod(F.xxhash64(key), F.lit(BITS)) + F.lit(1)
+    at = keys.select(F.bitmap_bucket_number(place).alias("__chunk"), F.bitmap_bit_position(place).alias("__bit"))
+    bits = at.groupBy("__chunk").agg(F.bitmap_construct_agg("__bit").alias("__bits"))
+    bit = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring("__bits", (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    met = F.coalesce(F.getbit(byte, (bit % 8).cast("int")) == 1, F.lit(False))
+    found = rows.withColumn("__chunk", F.bitmap_bucket_number(place)).join(F.broadcast(bits), "__chunk", "left" if others else "inner")
+    return found.filter(~met if others else met).select(*rows.columns)
+
+
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """Connected components of an undirected graph given as rows (a, b): rows (node, component) for all nodes
     that have an edge, component being the smallest node that can be reached.

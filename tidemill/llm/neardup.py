@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import components, join_hot, lean, mix64, rolling, scratch_path, ship, stage, unstage, word_ids
+from tidemill.llm.common import components, join_hot, lean, likely, mix64, rolling, scratch_path, ship, stage, unstage, word_ids
 
 WORDS, THRESHOLD = 5, 0.8
 SAMPLES, BANDS = 48, 12
@@ -39,8 +39,6 @@ MORE_SAMPLES = 756
 #: Of each further sample one byte is kept, seven to a 64-bit number; LOW and HIGH are the bits below and at the top of each byte.
 PER_LONG, LOW, HIGH = 7, 0x7F7F7F7F7F7F7F, 0x80808080808080
 AGREE = THRESHOLD - 4 * (THRESHOLD * (1 - THRESHOLD) / MORE_SAMPLES) ** 0.5
-#: Bits of the map of ids that stand in some bucket (8 MB).
-BITS = 1 << 26
 #: Nodes in a block; a bucket of more is compared block by block.
 TILE = 1024
 #: Keys that the pairs of one node are spread over.
@@ -232,7 +230,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     stars = join_hot(filled.select("bucket", "node"), heads, "bucket", "n", total).groupBy("node").agg(F.max("head")["node"].alias("a"))
     stars = stage(stars.filter("node <> a").select("a", F.col("node").alias("b")), "stars")
     met = filled.select(F.col("node").alias("id")).distinct()
-    some = _likely(signed.select(F.col("node").alias("id"), "text", "weights"), met).join(met, "id")  # a semi join would be pushed below the bitmap
+    some = likely(signed.select(F.col("node").alias("id"), "text", "weights"), met, "id").join(met, "id")  # a semi join would be pushed below the bitmap
     with _Bucketed(some, "id", parts) as texts:
         links = stage(_verified(stars, texts, threshold), "links")
 
@@ -305,16 +303,6 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
     return tb.join(ta, ["a", "salt"]).mapInPandas(lean(check), "a long, b long, similarity double")
 
 
-def _likely(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows whose id may be among the ids, by a bitmap of BITS hashed ids: it keeps most other texts out of the shuffle that follows. Its size is fixed; when it is full it keeps all."""
-    place = F.pmod(F.xxhash64("id"), F.lit(BITS)) + F.lit(1)
-    bits = ids.select(F.bitmap_bucket_number(place).alias("chunk"), F.bitmap_bit_position(place).alias("bit")).groupBy("chunk").agg(F.bitmap_construct_agg("bit").alias("bits"))
-    bit = F.bitmap_bit_position(place)
-    byte = F.conv(F.hex(F.substring("bits", (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    met = rows.withColumn("chunk", F.bitmap_bucket_number(place)).join(F.broadcast(bits), "chunk")
-    return met.filter(F.getbit(byte, (bit % 8).cast("int")) == 1).select(*rows.columns)
-
-
 def _clean(spark: SparkSession) -> None:
     """Shuffle files that nothing reads any more go when the driver collects garbage, which may be long after; texts and shingles shouldn't wait."""
     spark._jvm.System.gc()

@@ -1,9 +1,11 @@
 """WARC archives with revisit records.
 
-``plan`` shuffles headers by payload digest: of equal payloads of at least ``LEAST`` bytes the one with the largest id is the
-response, the others revisit it. ``write`` writes WARC/1.1 records with fresh headers through Spark's own writer, so any file
-system works; ``read`` parses the archives by their declared lengths, so payloads may hold anything; ``resolve`` gives
-revisits of archives (not only of those written here) the payload of the response that they name.
+``plan`` shuffles headers (id, target, digest, size) by payload digest: of equal payloads of at least ``LEAST`` bytes the one with the largest id is the
+response, the others revisit it. Revisit records are made from headers alone. Bodies move only where their digest may be a repeated one (by a bitmap of fixed size);
+those of revisits are dropped there, all others go from the scan into the archive. ``write`` writes WARC/1.1 records with fresh headers through Spark's own
+writer, so any file system works, as gzip files of about ``FILE_BYTES`` of payload; ``read`` streams them and cuts records by their declared lengths, so payloads may hold anything
+and a worker holds one record and one batch at a time; ``resolve`` joins
+revisits of archives (not only of those written here) to the response that they name.
 
 Defined results: null payload is the empty one; null ids and targets are written as empty and read back as null; equal rows are separate
 records; rows that share the response's id and payload are responses too; line ends in targets are escaped; an empty
@@ -19,22 +21,29 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import scratch_path, ship
+from tidemill.llm.common import join_hot, lean, likely, scratch_path, ship, stage
 
 LEAST = 1000
+#: Bytes of payload in a file, on average; rows of revisits that meet one copy of a response.
+FILE_BYTES, SALT_ROWS = 256 << 20, 10_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 END = "\r\n\r\n"
-RECORD = "page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, payload string"
+RECORD = "page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, payload binary"
 
 
 def plan(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = LEAST) -> DataFrame:
-    """page_id, url, payload, payload_bytes, payload_digest, refers_to (null for responses)."""
+    """page_id, url, payload (null for revisits), payload_bytes, payload_digest, refers_to (null for responses)."""
     payload = F.coalesce(F.col(payload_col), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"), F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha1(payload.cast("binary")).alias("payload_digest"))
-    originals = rows.filter(F.col("payload_bytes") >= least).groupBy(F.col("payload_digest").alias("digest")).agg(F.max("page_id").alias("original"), F.count("*").alias("n")).filter("n > 1").select("digest", "original")
-    joined = rows.join(originals, F.col("payload_digest") == F.col("digest"), "left")
-    refers = F.when(~F.col("page_id").eqNullSafe(F.col("original")), F.col("original"))
-    return joined.select("page_id", "url", "payload", "payload_bytes", "payload_digest", refers.alias("refers_to"))
+    heads = rows.drop("payload").filter(F.col("payload_bytes") >= least)
+    originals = stage(heads.groupBy("payload_digest").agg(F.max("page_id").alias("original"), F.count("*").alias("n")).filter("n > 1 and original is not null"), "originals")
+    repeated = stage(likely(heads, originals, "payload_digest"), "heads")
+    resolved = join_hot(repeated, originals, "payload_digest", "n", repeated.count()).filter(~F.col("page_id").eqNullSafe(F.col("original")))
+    revisits = stage(resolved.select("page_id", "url", "payload_bytes", "payload_digest", F.col("original").alias("refers_to")), "revisits")
+    gone = revisits.select(F.col("page_id").alias("p"), F.col("payload_digest").alias("d")).distinct()
+    moved = likely(rows, originals, "payload_digest").join(gone, (F.col("payload_digest") == F.col("d")) & F.col("page_id").eqNullSafe(F.col("p")), "left_anti")
+    responses = likely(rows, originals, "payload_digest", others=True).unionByName(moved).withColumn("refers_to", F.lit(None).cast("long"))
+    return responses.unionByName(revisits, allowMissingColumns=True)
 
 
 def _lines(*pairs: tuple[str, Column | str]) -> Column:
@@ -59,69 +68,115 @@ def records(planned: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFrame
     return planned.select(F.concat(head, http, F.when(revisit, "").otherwise(F.col("payload"))).alias("value"))
 
 
-def write(planned: DataFrame, path: str, records_per_file: int = 20_000) -> None:
-    records(planned).write.option("lineSep", END).option("maxRecordsPerFile", records_per_file).text(path)
-
-
-def parse(data: bytes) -> Iterator[tuple]:
-    """Records of one archive: (page_id, url, type, digest, payload length, refers_to, payload or None)."""
-    at = 0
-
-    def number(name: str | None) -> int | None:
-        inner = (name or "").strip("<>").rpartition(":")[2]
-        return int(inner) if inner.lstrip("-").isdigit() else None
-
-    def fields(block: bytes) -> dict[str, str]:
-        return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in block.decode("utf-8", "surrogatepass").split("\r\n")[1:])}
-
-    while at < len(data):
-        cut = data.index(b"\r\n\r\n", at)
-        if not data.startswith(b"WARC/", at):
-            raise ValueError(f"no record at byte {at}")
-        head = fields(data[at:cut])
-        start = cut + 4
-        end = start + int(head["content-length"])
-        block = data[start:end]
-        if len(block) != end - start or data[end : end + 4] != b"\r\n\r\n":
-            raise ValueError(f"the record at byte {at} doesn't end where it says")
-        split = block.index(b"\r\n\r\n")
-        payload = block[split + 4 :] if head["warc-type"] == "response" else None
-        digest = head["warc-payload-digest"].partition(":")[2]
-        if payload is not None and hashlib.sha1(payload).hexdigest() != digest:
-            raise ValueError(f"the payload at byte {at} has another digest")
-        length = int(fields(block[:split])["content-length"])
-        yield number(head["warc-record-id"]), head["warc-target-uri"] or None, head["warc-type"], digest, length, number(head.get("warc-refers-to")), payload
-        at = end + 4
+def write(planned: DataFrame, path: str, file_bytes: int = FILE_BYTES) -> None:
+    size = planned.agg(F.count("*"), F.coalesce(F.sum(F.when(F.col("refers_to").isNull(), F.col("payload_bytes"))), F.lit(0))).first()
+    most = max(1, int(file_bytes * size[0] // max(1, size[1])))
+    records(planned).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", most).text(path)
+
+
+def _fields(block: bytes) -> dict[str, str]:
+    return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in block.decode("utf-8", "surrogatepass").split("\r\n")[1:])}
+
+
+def _number(name: str | None) -> int | None:
+    inner = (name or "").strip("<>").rpartition(":")[2]
+    return int(inner) if inner.lstrip("-").isdigit() else None
+
+
+def _record(head: bytes, block: bytes) -> tuple:
+    """(page_id, url, type, digest, payload length, refers_to, payload or None) of one record."""
+    told = _fields(head)
+    http, _, payload = block.partition(END.encode())
+    digest = told["warc-payload-digest"].partition(":")[2]
+    whole = told["warc-type"] == "response"
+    if whole and hashlib.sha1(payload).hexdigest() != digest:
+        raise ValueError(f"the payload of {told['warc-record-id']} has another digest")
+    return _number(told["warc-record-id"]), told["warc-target-uri"] or None, told["warc-type"], digest, int(_fields(http)["content-length"]), _number(told.get("warc-refers-to")), payload if whole else None
+
+
+def parse(parts: Iterator[tuple[str, bytes]]) -> Iterator[tuple]:
+    """Records of archives given as (file, bytes up to the next double line end), in order. Payloads may end in line ends, so records are cut by length alone."""
+    end = END.encode()
+    held, have, need, at = [], 0, None, None
+
+    def closed() -> None:
+        if need is not None or b"".join(held) not in (b"", end):  # the last bytes of a file need not be followed by a double line end
+            raise ValueError(f"{at} ends within a record")
+
+    for name, part in parts:
+        if name != at:
+            closed()
+            held, have, at = [], 0, name
+        held.append(part + end)
+        have += len(held[-1])
+        while have:
+            if need is None:
+                held = [b"".join(held)]
+                cut = held[0].find(end)
+                if cut <= 0:
+                    break
+                if not held[0].startswith(b"WARC/"):
+                    raise ValueError(f"{name} goes on with no record")
+                start = cut + len(end)
+                need = start + int(_fields(held[0][:cut])["content-length"])
+            if have < need + len(end):
+                break
+            data = b"".join(held)
+            if data[need : need + len(end)] != end:
+                raise ValueError(f"a record of {name} doesn't end where it says")
+            yield _record(data[: start - len(end)], data[start:need])
+            held, have, need = [data[need + len(end) :]], have - need - len(end), None
+    closed()
 
 
 def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    """The records of all archives under a path; a file is read by one task."""
+    """The records of all archives under a path; a file is streamed by one task, since gzip isn't split."""
     ship(spark)
+    names = [x.split()[0] for x in RECORD.split(", ")]
 
     def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [x.split()[0] for x in RECORD.split(", ")]
-        for part in parts:
-            for data in part["content"]:
-                found = [(*r[:6], r[6].decode("utf-8", "surrogatepass") if payloads and r[6] is not None else None) for r in parse(data)]
-                out = pd.DataFrame(found, columns=names)
-                yield out.astype({"page_id": "Int64", "refers_to": "Int64", "payload_bytes": "int64"})
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(work, RECORD)
-
-
-def resolve(found: DataFrame) -> DataFrame:
-    """Every record with its payload: revisits get that of the response with their digest and the id they refer to."""
-    original = found.filter("record_type = 'response'").groupBy(F.col("payload_digest").alias("d"), F.col("page_id").alias("p")).agg(F.first("payload").alias("full"))
-    joined = found.join(original, (F.col("payload_digest") == F.col("d")) & (F.col("refers_to") == F.col("p")), "left")
-    return joined.withColumn("payload", F.coalesce("payload", "full")).drop("d", "p", "full")
+        def frame(found: list[tuple]) -> pd.DataFrame:
+            return pd.DataFrame(found, columns=names).astype({"page_id": "Int64", "refers_to": "Int64", "payload_bytes": "int64"})
+
+        found, size = [], 0
+        for r in parse((f, bytes(v)) for part in parts for f, v in zip(part["file"], part["value"], strict=True)):
+            found.append(r if payloads else (*r[:6], None))
+            size += len(found[-1][6] or b"") + 200
+            if size > 1 << 22:
+                yield frame(found)
+                found, size = [], 0
+        if found:
+            yield frame(found)
+
+    lines = spark.read.option("lineSep", END).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("value"))
+    return lines.mapInPandas(lean(work), RECORD).withColumn("payload", F.col("payload").cast("string"))
+
+
+def resolve(found: DataFrame, payloads: bool = True) -> DataFrame:
+    """Every record with what its response says: revisits get payload (if asked for), its length and digest from the response with their digest and the id they refer to.
+    Responses that many revisits name are repeated for every ``SALT_ROWS`` of these, so none of them is a hot key. ``found`` is read several times."""
+    named = F.col("record_type") == "revisit"
+    key = lambda c: F.concat_ws(" ", "payload_digest", F.col(c).cast("string"))
+    revisits = found.filter(named).withColumn("key", key("refers_to"))
+    facts = stage(revisits.groupBy("key").agg(F.count("*").alias("n")).withColumn("salts", F.ceil(F.col("n") / SALT_ROWS)), "named")
+    total = facts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    told = ["payload_bytes", "payload_digest", *(["payload"] if payloads else [])]
+    originals = found.filter(~named).withColumn("key", key("page_id")).join(facts.select("key", "salts"), "key")
+    originals = originals.groupBy("key", "salts").agg(*[F.first(c).alias(f"o_{c}") for c in told])
+    originals = originals.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).drop("salts")
+    salted = join_hot(revisits, facts, "key", "n", total).withColumn("salt", F.pmod(F.xxhash64("page_id"), F.col("salts")))
+    joined = salted.join(originals, ["key", "salt"], "left")
+    joined = joined.withColumns({c: F.coalesce(f"o_{c}", c) for c in told}).select(*found.columns)
+    return found.filter(~named).unionByName(joined)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
-    """Writes archives of all pages to the shared folder and reads their records back, without payloads."""
+    """Writes archives of all pages to the shared folder, reads their records back and resolves the revisits, without payloads."""
     spark = pages.sparkSession
     path = scratch_path(spark, "warc")
     write(plan(pages), path)
-    return read(spark, path, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    found = stage(read(spark, path, payloads=False).drop("payload"), "records")
+    return resolve(found, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 REVISIT_SQL = """
