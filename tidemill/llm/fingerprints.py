@@ -1,13 +1,14 @@
 """SpotSigs document fingerprints.
 
-A spot signature is a common word (anchor) with the chain of the next content words (words that are no
-anchors). The fingerprint of a text is the set of its signatures, hashed to 32 bits and written as sorted
+A spot signature is an anchor with the chain of the next content words (words that are no
+anchors; fewer at the end of the text). Anchors are common words; in a run of content words every ``RUN``-th one begins a signature without an anchor, and so does the first word of a text, so that
+texts without common words have signatures by the same rule. The fingerprint of a text is the set of its signatures, hashed to 32 bits and written as sorted
 hexadecimal; two fingerprints are compared by the Jaccard similarity of their sets. Sets belong to partitions by
-length: sets whose partitions differ by more than one can't reach the similarity the partitions are made for,
-and their comparison is pruned when a floor is given.
+length, whose bounds grow by 1 / ``FLOOR``: sets whose partitions aren't neighbours, or whose lengths alone keep them below the floor, are not compared,
+and their likeness is 0.
 
-Defined results: words are runs of letters and digits in lower case. A text with fewer than ``FEWEST`` signatures gets one for each of its words
-in addition, one without words a single signature of all its characters; null is the empty text, whose fingerprint is empty.
+Defined results: words are runs of letters and digits in lower case. A text without words has a single signature of all its characters;
+null is the empty text, whose fingerprint is empty.
 Two empty fingerprints have likeness 1, an empty and another one 0. Equal texts have equal fingerprints.
 The next document is that with the next smaller id, the first one after the last; equal ids stand in the order of digests of their
 texts, null ids come last; a single document is its own next; an empty table gives an empty result. Extra columns are not read.
@@ -25,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import WordHash, mix64, ship
+from tidemill.llm.common import WordHash, lean, mix64, ship
 
 #: Common words of four languages (fixed values; any list of frequent words serves).
 ANCHORS = frozenset(
@@ -35,9 +36,9 @@ ANCHORS = frozenset(
     "ils je la le les leur mais ne nous on ou où par pas plus pour que qui sa se ses son sont sur un une vous al como con de del el ella en entre es esta este "
     "ha la las le lo los más me mi muy no nos o para pero por que se si sin sobre su sus un una y ya".split()
 )
-CHAIN, FEWEST = 2, 4
-#: The similarity that the partitions by length are made for.
-PARTITIONED_FOR = 0.5
+CHAIN, RUN = 2, 4
+#: The similarity below which sets may be told apart by their lengths.
+FLOOR = 0.1
 _WORDS = re.compile(r"[^\W_]+")
 
 
@@ -59,15 +60,15 @@ def signatures(text: str | None) -> np.ndarray:
         return np.empty(0, np.uint32)
     ids = _HASH.of(_WORDS.findall(text.lower()))
     anchor = (ids & np.uint64(1)).astype(bool)
-    content = ids[~anchor]
-    after = np.cumsum(~anchor)[anchor]  # the first content word after each anchor
-    fits = after + CHAIN <= len(content)
-    after = after[fits]
-    s = ids[anchor][fits]
+    content, before = ids[~anchor], np.cumsum(~anchor)  # before: content words up to each word, itself included
+    last = np.maximum.accumulate(np.where(anchor, before, 0))
+    nth = (before - 1 - last)[~anchor]  # place of each content word in its run
+    begins = np.flatnonzero((nth % RUN == 0) & ((nth > 0) | (np.arange(len(content)) == 0) & ~anchor[:1].any()))
+    after = np.concatenate((before[anchor], begins))  # the first content word of each chain
+    s = np.concatenate((ids[anchor], np.zeros(len(begins), np.uint64)))
+    padded = np.concatenate((content, np.zeros(CHAIN, np.uint64)))
     for k in range(CHAIN):
-        s = mix64(s) + content[after + k]
-    if len(s) < FEWEST:
-        s = np.concatenate((s, ids))
+        s = mix64(s) + padded[after + k]
     if not len(s):
         s = np.frombuffer(hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()[:8], np.uint64)
     return np.unique((mix64(s) >> np.uint64(32)).astype(np.uint32))
@@ -78,14 +79,16 @@ def fingerprint(sigs: np.ndarray) -> str:
 
 
 def length_partition(n: int) -> int:
-    """Partition of sets of n signatures: bounds grow by 1 / PARTITIONED_FOR."""
-    return 0 if n < 1 else 1 + int(math.log(n) / -math.log(PARTITIONED_FOR))
+    """Partition of sets of n signatures: bounds grow by 1 / FLOOR."""
+    return 0 if n < 1 else 1 + int(math.log(n) / -math.log(FLOOR))
 
 
-def likeness(a: np.ndarray, b: np.ndarray, floor: float = 0.0) -> float:
-    """Jaccard similarity of two sorted sets; 0 without comparison if the lengths alone keep it below ``floor``."""
+def likeness(a: np.ndarray, b: np.ndarray, floor: float = FLOOR) -> float:
+    """Jaccard similarity of two sorted sets; 0 without comparison if their partitions or lengths alone keep it below ``floor`` (at least ``FLOOR``, or 0 for no pruning)."""
     if not len(a) and not len(b):
         return 1.0
+    if floor and abs(length_partition(len(a)) - length_partition(len(b))) > 1:
+        return 0.0
     if not len(a) or not len(b) or min(len(a), len(b)) < floor * max(len(a), len(b)):
         return 0.0
     both = np.concatenate((a, b))
@@ -151,4 +154,4 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             yield frame.assign(id=frame["id"].astype("Int64"))
 
     schema = "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, length_partition int"
-    return _neighbours(docs, id_col, text_col).mapInPandas(work, schema).withColumnRenamed("id", id_col)
+    return _neighbours(docs, id_col, text_col).mapInPandas(lean(work), schema).withColumnRenamed("id", id_col)
