@@ -9,7 +9,7 @@ their id (both are parameters); the driver fits the model on their passage count
 
 Defined results: null and empty texts are one passage without characters and get the score of that; without any
 label, or with one kind only, the score is the share of label 1 (0.5 without any). Null labels teach nothing; several
-labels for an id are all used. Rows with null ids are held out. An empty table gives an empty result. Extra columns are not read.
+labels for an id are all used. Texts of any length are scored whole, ``HELD`` passages at a time. Rows with null ids are held out. An empty table gives an empty result. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import crc_bucket, ship
+from tidemill.llm.common import crc_bucket, lean, ship
 
 PASSAGE = 512
 BYTES, SHAPES = 128, 512
@@ -29,6 +29,8 @@ FEATURES = BYTES + SHAPES
 SAMPLE, SAMPLE_CHARS = 4096, 60_000
 HIDDEN, ATTENTION, EPOCHS, BATCH, RATE, DECAY = 32, 16, 30, 64, 0.01, 1e-4
 ACCEPT = 0.7
+#: Passages that are held at once; a longer text is encoded run by run.
+HELD = 1024
 
 
 def _classes() -> np.ndarray:
@@ -43,17 +45,28 @@ def _classes() -> np.ndarray:
 _CLASS = _classes()
 
 
-def passages(text: str | None) -> np.ndarray:
-    """Counts of the whole text, one row for each passage (passages are cut by bytes of UTF-8)."""
-    b = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
-    n = max(1, -(-len(b) // PASSAGE))
-    c = _CLASS[b]
+def _bytes(text: str | None) -> np.ndarray:
+    return np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
+
+
+def _counted(b: np.ndarray, start: int, end: int) -> np.ndarray:
+    """Counts of the passages that bytes start to end make up; a trigram belongs to the passage that it begins in."""
+    some = b[start : min(end + 2, len(b))]
+    n = max(1, -(-(min(end, len(b)) - start) // PASSAGE))
+    c = _CLASS[some]
     shape = (c[:-2] * 40_503 + c[1:-1] * 2_711 + c[2:] * 97) % 65_521 % SHAPES if len(c) > 2 else np.empty(0, np.int64)
-    at = np.arange(len(b)) // PASSAGE * FEATURES
-    cells = np.concatenate((at + (b >> 1), at[: len(shape)] + BYTES + shape))
+    own = some[: end - start]
+    at = np.arange(len(own)) // PASSAGE * FEATURES
+    cells = np.concatenate((at + (own >> 1), at[: len(shape)] + BYTES + shape))
     return np.bincount(cells, minlength=n * FEATURES).reshape(n, FEATURES)
 
 
+def passages(text: str | None) -> np.ndarray:
+    """Counts of the whole text, one row for each passage (passages are cut by bytes of UTF-8)."""
+    b = _bytes(text)
+    return _counted(b, 0, len(b))
+
+
 def scale(counts: np.ndarray) -> np.ndarray:
     return np.log1p(counts.astype(np.float32))
 
@@ -67,13 +80,29 @@ class Attention:
         init = lambda a, b: (rng.standard_normal((a, b)) / np.sqrt(a)).astype(np.float32)
         self.p = {"W": init(FEATURES, HIDDEN), "b": np.zeros(HIDDEN, np.float32), "V": init(HIDDEN, ATTENTION), "U": init(HIDDEN, ATTENTION), "w": init(ATTENTION, 1), "c": init(HIDDEN, 1), "d": np.zeros(1, np.float32)}
 
-    def forward(self, x: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, tuple]:
-        """Scores of bags; x: scaled passages, starts: the first row of each bag (none is empty)."""
+    def encode(self, x: np.ndarray) -> tuple[np.ndarray, ...]:
+        """For scaled passages: (standardized input, encoding, both parts of the gated attention, its logit)."""
         p = self.p
         z = (x - self.mean) / self.spread
         h = np.tanh(z @ p["W"] + p["b"])
         t, g = np.tanh(h @ p["V"]), 1 / (1 + np.exp(-(h @ p["U"])))
-        e = ((t * g) @ p["w"])[:, 0]
+        return z, h, t, g, ((t * g) @ p["w"])[:, 0]
+
+    def score_long(self, b: np.ndarray, held: int = HELD) -> float:
+        """Score of the bytes of one text of any length: sums of the softmax are carried on over runs of passages."""
+        most, weight, total = -np.inf, 0.0, np.zeros(HIDDEN)
+        for start in range(0, max(1, len(b)), held * PASSAGE):
+            _, h, _, _, e = self.encode(scale(_counted(b, start, min(len(b), start + held * PASSAGE))))
+            top = max(most, float(e.max()))
+            a, keep = np.exp(e - top), np.exp(most - top)
+            weight, total, most = weight * keep + float(a.sum()), total * keep + a @ h, top
+        s = float((total / weight) @ self.p["c"][:, 0] + self.p["d"][0])
+        return 1 / (1 + float(np.exp(-s)))
+
+    def forward(self, x: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, tuple]:
+        """Scores of bags; x: scaled passages, starts: the first row of each bag (none is empty)."""
+        p = self.p
+        z, h, t, g, e = self.encode(x)
         bag = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(x))))
         e = np.exp(e - np.maximum.reduceat(e, starts)[bag])
         a = e / np.add.reduceat(e, starts)[bag]
@@ -143,16 +172,29 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def score_texts(model: Attention | float, texts: list[str | None], batch: int = 512) -> list[float]:
     if isinstance(model, float):
         return [model] * len(texts)
-    out: list[float] = []
+    out = [0.0] * len(texts)
     held: list[np.ndarray] = []
+    where: list[int] = []
     size = 0
+
+    def flush() -> None:
+        starts = np.cumsum([0, *(len(x) for x in held[:-1])])
+        for i, v in zip(where, model.forward(scale(np.concatenate(held)), starts)[0].tolist(), strict=True):
+            out[i] = v
+
     for i, t in enumerate(texts):
-        held.append(passages(t))
+        b = _bytes(t)
+        if len(b) > HELD * PASSAGE:
+            out[i] = model.score_long(b)
+            continue
+        held.append(_counted(b, 0, len(b)))
+        where.append(i)
         size += len(held[-1])
-        if size >= batch or i == len(texts) - 1:
-            starts = np.cumsum([0, *(len(x) for x in held[:-1])])
-            out += model.forward(scale(np.concatenate(held)), starts)[0].astype(float).tolist()
-            held, size = [], 0
+        if size >= batch:
+            flush()
+            held, where, size = [], [], 0
+    if held:
+        flush()
     return out
 
 
@@ -169,4 +211,4 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
             yield part.assign(score=s, predicted=[int(x >= ACCEPT) for x in s])
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInPandas(work, f"id {kind}, held_out boolean, score double, predicted int").withColumnRenamed("id", id_col)
+    return rows.mapInPandas(lean(work), f"id {kind}, held_out boolean, score double, predicted int").withColumnRenamed("id", id_col)
