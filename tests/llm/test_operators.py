@@ -232,6 +232,77 @@ def test_fingerprints(docs):
         assert abs(got.loc[d, "near_edited"] - len(a & b) / len(a | b)) < 1e-12
 
 
+def plain_signatures(text):
+    """The rule of spot signatures word by word: sets of (anchor or none, content words of the chain)."""
+    words = re.findall(r"[^\W_]+", text.lower())
+    out, run = set(), 0
+    for i, w in enumerate(words):
+        rest = [x for x in words[i if w not in fingerprints.ANCHORS else i + 1 :] if x not in fingerprints.ANCHORS][: fingerprints.CHAIN]
+        if w in fingerprints.ANCHORS:
+            out.add((w, *rest))
+            run = 0
+        else:
+            if run % fingerprints.RUN == 0 and (run > 0 or i == 0):
+                out.add((None, *rest))
+            run += 1
+    return out
+
+
+def test_spot_signatures_brute_force(docs):
+    texts = [*docs.toPandas().text, "the", "the of", "zq", "zq wq xq vq uq the rq", "the zq of wq", "!!", ""]
+    plain = [plain_signatures(t) for t in texts]
+    hashed = [fingerprints.signatures(t) for t in texts]
+    for t, a, b in zip(texts, plain, hashed, strict=True):
+        assert len(b) == (len(a) or bool(t))
+    for k in range(1, len(texts) - 3):
+        a, b = plain[k - 1], plain[k]
+        want = len(a & b) / len(a | b)
+        assert fingerprints.likeness(hashed[k - 1], hashed[k], 0.0) == pytest.approx(want)
+        pruned = fingerprints.likeness(hashed[k - 1], hashed[k])
+        assert pruned == pytest.approx(want) or pruned == 0 and want < fingerprints.FLOOR
+
+
+def test_attention_forward_gradient_and_long_texts():
+    rng = np.random.default_rng(1)
+    model = quality.Attention(np.zeros(quality.FEATURES), np.ones(quality.FEATURES))
+    texts = ["".join(rng.choice(list("abc de.\n"), n)) for n in (3, 700, 5000)]
+    bags = [quality.scale(quality.passages(t)) for t in texts]
+
+    def naive(bag):
+        p = model.p
+        h = [np.tanh(x @ p["W"] + p["b"]) for x in bag]
+        e = [float((np.tanh(v @ p["V"]) / (1 + np.exp(-(v @ p["U"])))) @ p["w"][:, 0]) for v in h]
+        a = np.exp(e) / np.exp(e).sum()
+        return 1 / (1 + np.exp(-float(sum(w * v for w, v in zip(a, h, strict=True)) @ p["c"][:, 0] + p["d"][0])))
+
+    want = [naive(b) for b in bags]
+    assert quality.score_texts(model, texts) == pytest.approx(want, abs=1e-5)
+    assert model.score_long(quality._bytes(texts[2]), held=2) == pytest.approx(want[2], abs=1e-5)
+    starts, x, y = np.cumsum([0, *map(len, bags[:-1])]), np.concatenate(bags), np.array([1, 0, 1], np.float32)
+    loss = lambda: float(-np.mean(np.where(y > 0, np.log(s := model.forward(x.astype(np.float64), starts)[0]), np.log(1 - s))))
+    model.p = {k: v.astype(np.float64) for k, v in model.p.items()}
+    grads = model.gradient(x, starts, y)
+    for k in model.p:
+        i = np.unravel_index(np.abs(grads[k]).argmax(), grads[k].shape)
+        model.p[k][i] += 1e-4
+        up = loss()
+        model.p[k][i] -= 2e-4
+        down = loss()
+        model.p[k][i] += 1e-4
+        assert (up - down) / 2e-4 == pytest.approx(float(grads[k][i]), rel=0.02, abs=1e-5)
+
+
+def test_bundles_brute_force():
+    letters = langid._letters(64, 3)
+    texts = ["abc", "the cat sat", "ünder 12 z"]
+    got = langid.bundles([langid.trigrams(t) for t in texts], letters)
+    for t, b in zip(texts, got, strict=True):
+        s, want = langid.symbols(t).tolist(), np.zeros(64)
+        for i in range(len(s) - 2):
+            want += np.roll(letters[s[i]], 2) * np.roll(letters[s[i + 1]], 1) * letters[s[i + 2]]
+        assert (b == want).all()
+
+
 def test_embeddings_brute_force(spark):
     rng = np.random.default_rng(4)
     x = rng.standard_normal((300, 64))

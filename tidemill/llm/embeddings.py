@@ -24,12 +24,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import components, ship, stage
+from tidemill.llm.common import components, join_hot, lean, ship, stage
 
 THRESHOLD, RECALL, EPSILON = 0.9, 0.99, 4.5
 TILE = 2048
 LEVELS = 15
-LEAST_BITS, MOST_BITS = 6, 28
+LEAST_BITS, MOST_BITS = 6, 62  # a key is one signed 64-bit number; 2**66 vectors would ask for more
 
 
 def unit(v) -> np.ndarray | None:
@@ -107,7 +107,7 @@ def similar(docs: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddin
         for part in parts:
             yield pd.DataFrame({"id": part["id"].astype("Int64"), "v": [None if (x := unit(v)) is None else x.astype("<f8").tobytes() for v in part["v"]]})
 
-    rows = stage(docs.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).mapInPandas(clean, "id long, v binary"), "vectors")
+    rows = stage(docs.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).mapInPandas(lean(clean), "id long, v binary"), "vectors")
     good = rows.filter("v is not null and id is not null")
     nodes = stage(good.groupBy("v").agg(F.min("id").alias("node"), F.count("*").alias("size")), "nodes")
     bits, tables = tables_for(nodes.count(), threshold)
@@ -123,7 +123,7 @@ def similar(docs: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddin
                     keys = coder.buckets(x)
                     yield pd.DataFrame({"node": some["node"], "dim": int(dim), "code": coder.code(x), "keys": list(keys)})
 
-    coded = nodes.select("node", "v").mapInPandas(encode, "node long, dim int, code binary, keys array<long>")
+    coded = nodes.select("node", "v").mapInPandas(lean(encode), "node long, dim int, code binary, keys array<long>")
     met = coded.select("node", "code", "dim", F.posexplode("keys").alias("t", "key")).select(F.xxhash64("dim", "t", "key").alias("bucket"), "node", "code")
     met = stage(met, "codes")
     crowds = met.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").withColumn("blocks", F.ceil(F.col("n") / TILE))
@@ -162,7 +162,7 @@ def similar(docs: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddin
         if held is not None and len(held) > 1:
             yield pairs(held)
 
-    candidates = work.mapInPandas(meet, "a long, b long").distinct()
+    candidates = work.mapInPandas(lean(meet), "a long, b long").distinct()
 
     def exact(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -170,11 +170,27 @@ def similar(docs: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddin
             yield part[["a", "b"]][np.array(sim) >= threshold] if sim else part[["a", "b"]]
 
     va, vb = nodes.select(F.col("node").alias("a"), F.col("v").alias("va")), nodes.select(F.col("node").alias("b"), F.col("v").alias("vb"))
-    links = stage(candidates.join(va, "a").join(vb, "b").mapInPandas(exact, "a long, b long"), "links")
+    links = stage(candidates.join(va, "a").join(vb, "b").mapInPandas(lean(exact), "a long, b long"), "links")
     label = components(links)
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    partners = both.join(nodes.select(F.col("node").alias("b"), "size"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("size").alias("others"))
-    of_node = nodes.join(partners, "node", "left").join(label, "node", "left").select("v", (F.coalesce("others", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
-    linked = good.join(of_node, "v").select("id", "n_links", "component_id")
+    degree = stage(both.groupBy("b").agg(F.count("*").alias("n")).join(nodes.select(F.col("node").alias("b"), "size"), "b"), "degree")
+    partners = join_hot(both, degree, "b", "n", 2 * links.count()).groupBy(F.col("a").alias("node")).agg(F.sum("size").alias("others"))
+    of_node = nodes.join(partners, "node", "left").join(label, "node", "left").select("v", F.col("size").alias("n"), (F.coalesce("others", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
+    linked = join_hot(good, stage(of_node, "linked"), "v", "n", good.count()).select("id", "n_links", "component_id")
     alone = rows.filter("v is null or id is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return linked.unionByName(alone).select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+LINKS_SQL = """
+with recursive v as (
+  select vec_id, embedding::double[] as e from embeddings
+  where vec_id is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l as (
+  select a.vec_id as a, b.vec_id as b from v a join v b on a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+  and list_inner_product(a.e, b.e) / sqrt(list_inner_product(a.e, a.e) * list_inner_product(b.e, b.e)) >= 0.9),
+n as (select a, count(*) as n from l group by a),
+reach(vec_id, r) as (select vec_id, vec_id from v union select reach.vec_id, l.b from reach join l on reach.r = l.a),
+c as (select vec_id, min(r) as c from reach group by vec_id)
+select x.vec_id, coalesce(n.n, 0)::bigint as n_links, coalesce(c.c, x.vec_id) as component_id, coalesce(coalesce(c.c, x.vec_id) = x.vec_id, true) as kept
+from embeddings x left join n on n.a = x.vec_id left join c on c.vec_id = x.vec_id
+"""

@@ -80,9 +80,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
+    from tidemill.llm.embeddings import LINKS_SQL
     from tidemill.llm.mixing import MIX_SQL
     from tidemill.llm.preferences import PREFERENCE_SQL
     from tidemill.llm.substrings import REPEATS_SQL
     from tidemill.llm.warc import REVISIT_SQL
 
-    return {"op4_preference_formatting": PREFERENCE_SQL, "op7_warc_revisits": REVISIT_SQL, "op6_substring_dedup": REPEATS_SQL, "op10_source_mixing": MIX_SQL}
+    return {"op4_preference_formatting": PREFERENCE_SQL, "op5_embedding_near_dedup": LINKS_SQL, "op7_warc_revisits": REVISIT_SQL, "op6_substring_dedup": REPEATS_SQL, "op10_source_mixing": MIX_SQL}
