@@ -26,7 +26,7 @@ BUDGET_SHARE = 1.5
 MAX_REPEATS = 2
 SEED = "mix-0-"
 #: Words of one turn; rows of a bucket of a source, and of a range of the queue.
-QUANTUM, BUCKET_ROWS, RANGE_ROWS = 256, 50_000, 100_000
+QUANTUM, BUCKET_ROWS, RANGE_ROWS = 256, 2_000, 100_000
 
 
 def n_words(text: Column) -> Column:
