@@ -46,7 +46,9 @@ class Metrics(dict):
         """The aggregate that ``metric('name', ...)`` stands for in a select list."""
         if name not in self:
             raise CompilationError(f"there is no metric {name!r}")
-        unknown = set(params) - {"at", "for", "grain", "allow_approximate"}
+        if held := sorted({"at", "grain"} & set(params)):
+            raise CompilationError(f"metric('{name}'): {', '.join(held)} can't be said in a select list; group by the period, or use metrics.by_grain")
+        unknown = set(params) - {"for", "allow_approximate"}
         if unknown:
             raise CompilationError(f"metric('{name}'): unknown parameter {', '.join(sorted(unknown))}")
         sql = self[name].sql(params.get("allow_approximate", "").lower() == "true")
@@ -81,14 +83,15 @@ def trailing(df: DataFrame, metric: Metric, days: int) -> DataFrame:
 
 
 def first_touch(touches: DataFrame, conversions: DataFrame, key: str, touch_time: str, conversion_time: str, days: int = 30) -> DataFrame:
-    """Every conversion with the earliest touch within ``days`` days before it (null if there is none).
+    """Every conversion with the earliest touch within ``days`` days before it (null if there is none). Equal conversions stay as many rows as they are.
 
     Touches and conversions meet by key and by buckets of ``days`` days, so a key with many rows is spread over its buckets."""
     width = days * 86_400
-    c = conversions.withColumn("__id", F.xxhash64(*conversions.columns)).withColumn("__b", F.floor(F.unix_timestamp(F.col(conversion_time).cast("timestamp")) / width))
+    c = conversions.groupBy(*conversions.columns).agg(F.count("*").alias("__n")).withColumn("__b", F.floor(F.unix_timestamp(F.col(conversion_time).cast("timestamp")) / width))
     seconds = F.unix_timestamp(F.col(touch_time).cast("timestamp"))
     t = touches.withColumn("__t", F.explode(F.array(F.floor(seconds / width), F.floor(seconds / width) + 1)))
     t = t.select(F.col(key).alias("__k"), "__t", F.struct(touch_time, *[x for x in touches.columns if x != touch_time]).alias("touch"))
     before = (F.col(f"touch.{touch_time}") <= F.col(conversion_time)) & (F.col(f"touch.{touch_time}") >= F.col(conversion_time) - F.expr(f"interval {days} days"))
     met = c.join(t, (F.col(key) == F.col("__k")) & (F.col("__b") == F.col("__t")) & before, "left")
-    return met.groupBy(*conversions.columns).agg(F.min("touch").alias("first_touch"))
+    found = met.groupBy(*conversions.columns, "__n").agg(F.min("touch").alias("first_touch"))
+    return found.withColumn("__k", F.explode(F.sequence(F.lit(1).cast("long"), "__n"))).drop("__n", "__k")

@@ -73,7 +73,9 @@ def compile_sql(project: Project, name: str, table_of: Callable[[str], str], met
     spans = []
     for call in calls(model.sql, project.namespace, str(model.path or name)):
         if call.function == "ref":
-            at = relation(call, table_of(call.name))
+            # ``inline`` puts the model's text in the place of its table; the other hints ask for what a run does anyway.
+            inline = call.params.get("inline", "").lower() == "true" and call.name in project.models
+            at = relation(call, f"({compile_sql(project, call.name, table_of, metrics)})" if inline else table_of(call.name))
             spans.append((call.start, call.end, at if not at.startswith("(") or _aliased(model.sql, call.end) else f"{at} AS {call.name.rpartition('.')[2]}"))
         elif call.function == "metric" and metrics is not None:
             spans.append((call.start, call.end, metrics.expression(call.name, call.params)))

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.functions import metrics
+from tidemill.functions.udfs import Functions
 from tidemill.operators import incremental, joins, sessions
 from tidemill.plans import project as projects
 from tidemill.plans import rules
@@ -74,7 +75,7 @@ PORTABLE: dict[str, str] = {
     "group_by_ordinal": "select event_type, cast(ts as date) as day, count(*) as n from {events} group by 1, 2",
     "group_by_alias": "select user_id, cast(ts as date) as day_of, count(*) as n from {events} where event_type = 'view' group by user_id, day_of",
     "having_filter": "select user_id, count(*) as n from {events} group by user_id having count(*) > 60",
-    "avg_by_type": "select event_type, " + VALUE + " / count(*) as mean from {events} group by event_type",
+    "avg_by_type": "select event_type, " + VALUE + " / count(value) as mean from {events} group by event_type",
     "min_max_stats": "select l_returnflag, min(l_quantity) as low, max(l_quantity) as high, count(l_tax) as n from {lineitem} group by l_returnflag",
     "sessionize_window": SESSIONS,
     "daily_sessions_by_user": "select session_day, user_id, count(*) as sessions, cast(sum(n) as bigint) as events, cast(sum(revenue) as double) as revenue from (" + SUMMARY + ") x group by session_day, user_id",
@@ -101,12 +102,30 @@ PORTABLE: dict[str, str] = {
     "grouping_sets_q": "select user_id, event_type, count(*) as n from {events} group by grouping sets ((user_id), (event_type))",
     "recursive_cte": "with recursive t(n) as (select 1 union all select n + 1 from t where n < 5) select n from t",
     "from_less_select": "select 1 as id, 'test' as name",
+    "avg_quantity_by_flag": "select l_returnflag, l_linestatus, avg(l_quantity) as mean, avg(case when l_linenumber > 4 then l_quantity end) as late from {lineitem} group by l_returnflag, l_linestatus",
+    "four_dim_avg": "select l_returnflag, l_linestatus, l_linenumber, cast(extract(year from l_shipdate) as int) as y, count(*) as n, avg(l_quantity) as mean from {lineitem} group by l_returnflag, l_linestatus, l_linenumber, cast(extract(year from l_shipdate) as int)",
+    "spread_by_flag": "select l_returnflag, round(stddev_samp(l_quantity), 6) as sd, round(stddev_pop(l_quantity), 6) as sp, round(var_samp(l_quantity), 4) as vs, round(var_pop(l_quantity), 4) as vp from {lineitem} group by l_returnflag",
+    "first_active_day": "select user_id, cast(date_trunc('day', min(ts)) as date) as first_day, cast(date_trunc('month', max(ts)) as date) as last_month from {events} group by user_id",
+    "four_way_product": "select r.r_name, n.n_name, s.s_suppkey, e.kind from {region} r, {nation} n, (select s_suppkey from {supplier} where s_suppkey <= 4) s, (select distinct event_type as kind from {events}) e where (r.r_regionkey * 7 + n.n_nationkey * 3 + s.s_suppkey) % 11 = 0 order by r.r_name, n.n_name, s.s_suppkey, e.kind limit 200",
+    "lateral_join": "select n.n_name, t.k, t.twice from {nation} n, lateral (select n.n_regionkey + 1 as k, n.n_nationkey * 2 as twice) t",
+    "intersect_all_q": "select event_type, user_id from {events} where value > 50 intersect all select event_type, user_id from {events} where value < 200",
+    "except_all_q": "select event_type, user_id from {events} except all select event_type, user_id from {events} where value < 100",
+    "range_frames": "select event_id, cast(sum(event_id) over (partition by event_type order by event_id range between 100 preceding and 50 following) as bigint) as s, count(*) over (partition by event_type order by event_id range between unbounded preceding and current row) as n from {events}",
+    "rank_values": "select event_id, percent_rank() over (partition by user_id order by ts, event_id) as p, cume_dist() over (partition by user_id order by ts, event_id) as c, first_value(event_type) over (partition by user_id order by ts, event_id) as f, last_value(event_type) over (partition by user_id order by ts, event_id rows between unbounded preceding and unbounded following) as l, nth_value(event_type, 2) over (partition by user_id order by ts, event_id rows between unbounded preceding and unbounded following) as second from {events}",
+    "limit_unordered": "select count(*) as n from (select event_id from {events} limit 100) t",
+    "today_q": "select current_date >= date '2024-01-01' as later",
+    "string_functions": "select n_nationkey, upper(n_name) as u, lower(n_name) as l, length(n_name) as n, substring(n_name, 2, 3) as s, replace(n_name, 'A', 'x') as r, trim('  ' || n_name || ' ') as t, lpad(n_name, 12, '.') as p, reverse(n_name) as b, instr(n_name, 'A') as i from {nation}",
+    "math_functions": "select l_orderkey, l_linenumber, abs(l_quantity - 25) as a, cast(ceil(l_extendedprice) as bigint) as c, cast(floor(l_extendedprice) as bigint) as f, round(sqrt(l_quantity), 6) as r, power(l_quantity, 2) as p, sign(l_quantity - 25) as s, greatest(l_linenumber, 3) as g, least(l_linenumber, 3) as e from {lineitem}",
     "theta_range_join": "select e.event_id, count(*) as n from {events} e join {orders} o on e.user_id = o.o_custkey and o.o_totalprice > e.value * 1000 group by e.event_id",
 }
 
 #: Foreign texts that the engine rewrites: (model, SQL in DuckDB's dialect).
 REWRITTEN: dict[str, tuple[str, str]] = {
     "first_by_order": ("select user_id, first(event_type order by ts) as kind from {events} group by user_id",) * 2,
+    "last_by_order": ("select user_id, last(event_type order by ts) as kind from {events} group by user_id",) * 2,
+    "row_number_bare": ("select max(k) as last, count(distinct k) as n from (select row_number() over () as k from {events}) t", "select cast(max(k) as int) as last, count(distinct k) as n from (select row_number() over () as k from {events}) t"),
+    "ref_limit": ("select count(*) as n from mill.ref('events', limit => 50)", "select 50 as n"),
+    "map_values": ("select event_id, map('kind', event_type, 'user', cast(user_id as string))['kind'] as kind, size(split(event_type, 'i')) as parts from {events}", "select event_id, event_type as kind, len(string_split(event_type, 'i')) as parts from {events}"),
     "cast_double_colon": ("select event_id::varchar as id, value::decimal(10,2)::double as v, null::varchar as none from {events}",) * 2,
     "qualify_rewrite": (
         NOTE + "select user_id, event_id, row_number() over (partition by user_id order by value desc, event_id) as k from {events} qualify k <= 2",
@@ -212,6 +231,33 @@ def first_touch_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("event_id", F.col("first_touch.t_ts").alias("touch_ts"))
 
 
+def first_touch_equal_conversions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversions without an id: several of a user and day are equal rows, and stay as many."""
+    e = table(spark, sf_dir, "events")
+    day = F.date_trunc("day", "ts").cast("timestamp_ntz")
+    buys = e.filter("event_type = 'purchase'").select("user_id", (day + F.expr("interval 1 day")).alias("bought"))
+    touches = e.filter("event_type = 'click'").select("user_id", F.col("ts").alias("t_ts"))
+    found = metrics.first_touch(touches, buys, "user_id", "t_ts", "bought", 3)
+    return found.select("user_id", "bought", F.col("first_touch.t_ts").alias("touch_ts"))
+
+
+def range_join_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bands = spark.range(60).select(F.col("id").alias("band"), (F.col("id") * 10.0).alias("low"), (F.col("id") * 10.0 + 15.0).alias("high"))
+    found = joins.range_join(table(spark, sf_dir, "events").select("event_id", "value"), bands, "value", "low", "high", 10.0)
+    return found.select("event_id", "band")
+
+
+def udf_in_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = Functions()
+    known.define("mill_score", lambda v, n: v * 2 + n, "double")
+    return session(spark, sf_dir, {"q": "select event_id, mill_score(value, cast(user_id as double)) as score from {events}"}, functions=known).frame("q")
+
+
+def inline_hint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chain = CHAIN | {"user_stats": CHAIN["user_stats"].replace("mill.ref('user_day')", "mill.ref('user_day', inline => true)")}
+    return session(spark, sf_dir, chain).frame("user_stats")
+
+
 def approx_distinct_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy("event_type").agg(F.approx_count_distinct("user_id", 0.008).alias("users"))
 
@@ -240,6 +286,10 @@ PLAIN: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
     "metric_mau_trailing28": (metric_mau_trailing28, "select d.day, count(distinct e.user_id) as users from (select distinct cast(ts as date) as day from {events}) d join {events} e on cast(e.ts as date) between d.day - interval '27' day and d.day group by d.day"),
     "metric_in_model": (metric_in_model, "select event_type, count(distinct user_id) filter (value > 50) as buyers from {events} group by event_type"),
     "first_touch_attribution": (first_touch_attribution, "select b.event_id, min(t.ts) as touch_ts from (select * from {events} where event_type = 'purchase') b left join (select * from {events} where event_type = 'click') t on t.user_id = b.user_id and t.ts <= b.ts and t.ts >= b.ts - interval '30' day group by b.event_id"),
+    "first_touch_equal_conversions": (first_touch_equal_conversions, "select b.user_id, b.bought, (select min(t.ts) from {events} t where t.event_type = 'click' and t.user_id = b.user_id and t.ts <= b.bought and t.ts >= b.bought - interval '3' day) as touch_ts from (select user_id, date_trunc('day', ts)::timestamp + interval '1' day as bought from {events} where event_type = 'purchase') b"),
+    "range_join_bands": (range_join_bands, "select event_id, band from {events} join (select i as band, i * 10.0::double as low, i * 10.0::double + 15 as high from range(60) t(i)) b on value >= low and value < high"),
+    "udf_in_model": (udf_in_model, "select event_id, value * 2 + user_id as score from {events}"),
+    "inline_hint": (inline_hint, "select user_id, count(*) as sessions, cast(sum(n) as bigint) as total_events from (select user_id, cast(ts as date) as d, count(*) as n from {events} where event_type = 'view' group by 1, 2) t group by user_id"),
     "approx_distinct_users": (approx_distinct_users, None),
     "ref_sample": (ref_sample, None),
     "inline_values": (inline_values, "select * from (values (1, 'a'), (2, 'b'), (3, 'c')) as t(id, name)"),

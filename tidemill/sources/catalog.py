@@ -46,7 +46,10 @@ def register(spark: SparkSession, source: SourceTable, root: str | None = None)
     """Makes a source with a path a table of the catalog, over the files where they are."""
     spark.sql(f"CREATE SCHEMA IF NOT EXISTS {source.schema}")
     if source.path is not None:
-        spark.sql(f"CREATE TABLE IF NOT EXISTS {source.qualified} USING {source.format} LOCATION '{resolve(source.path, root)}'")
+        named = source.format in ("csv", "json") and source.columns
+        columns = f" ({', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in declared_schema(source))})" if named else ""
+        header = " OPTIONS (header 'true')" if source.format == "csv" else ""
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {source.qualified}{columns} USING {source.format}{header} LOCATION '{resolve(source.path, root)}'")
 
 
 def validate(spark: SparkSession, project: Project) -> None:

@@ -6,8 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tidemill.operators.incremental import merged
-
 
 def event_time(stream: DataFrame, time: str, late: str) -> DataFrame:
     """A stream whose time column bears a watermark; the column becomes a zoned timestamp, as Spark asks for."""
@@ -33,16 +31,28 @@ def _names(aggregates: list) -> list:
     return [F.col(a._jc.toString().rpartition(" AS ")[2].strip("`")) for a in aggregates]
 
 
-def upsert_sink(stream: DataFrame, path: str, key: list[str], checkpoint: str) -> StreamingQuery:
-    """Keeps the latest row of each key under ``path``. Each batch writes a new version in a folder of its own, named by the
-    batch, so a batch that runs again gives the same table."""
-    spark: SparkSession = stream.sparkSession
+def upsert_sink(stream: DataFrame, path: str, key: list[str], time: str, checkpoint: str) -> StreamingQuery:
+    """Keeps what ``latest`` needs to tell the newest row of each key. A batch writes only its own newest rows, in a folder named by the batch, so a batch that runs
+    again gives the same files and the cost of a batch doesn't grow with the table."""
 
     def put(batch: DataFrame, number: int) -> None:
-        at = f"{path}/v{number}"
-        latest = batch.dropDuplicates(key)
-        if number:
-            latest = merged(spark.read.parquet(f"{path}/v{number - 1}"), latest, key)
-        latest.write.mode("overwrite").parquet(at)
+        _newest(batch, key, [time]).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(put).start()
+
+
+def _newest(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """The row of each key that is last in the order; of rows equal in it the one that is last by its other columns."""
+    others = [c for c in rows.columns if c not in order and c not in key]
+    return rows.groupBy(*key).agg(F.max(F.struct(*order, *others)).alias("r")).select(*[F.col(c) if c in key else F.col(f"r.{c}") for c in rows.columns])
+
+
+def latest(spark: SparkSession, path: str, key: list[str], time: str) -> DataFrame:
+    """The newest row of each key that a sink has seen; of equal times that of the later batch."""
+    rows = spark.read.option("basePath", path).parquet(f"{path}/batch=*")
+    return _newest(rows, key, [time, "batch"]).drop("batch")
+
+
+def compact(spark: SparkSession, path: str, to: str, key: list[str], time: str) -> None:
+    """Writes the newest rows as batch -1 of a new folder, for a sink that has been stopped."""
+    latest(spark, path, key, time).write.mode("overwrite").parquet(f"{to}/batch=-1")
