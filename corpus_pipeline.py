@@ -53,8 +53,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     whole = F.floor(F.col("taken") / F.col("size"))
     rest = F.col("taken") - whole * F.col("size")
     texts = F.array_repeat("row.text", (whole + F.when(2 * rest >= F.col("size"), 1).otherwise(0)).cast("int"))  # whichever is nearer the target
-    ordered = mixed.repartitionByRange("finish").sortWithinPartitions("finish")
-    return ordered.select("row", F.explode(texts).alias("text")).select("row.doc_id", "text", "row.lang", "row.source", F.length("text").cast("long").alias("n_chars"))
+    return mixed.select("row", F.explode(texts).alias("text")).select("row.doc_id", "text", "row.lang", "row.source", F.length("text").cast("long").alias("n_chars"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
