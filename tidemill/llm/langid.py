@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import crc_bucket, ship
+from tidemill.llm.common import crc_bucket, lean, ship
 
 DIM = 1024
 SYMBOLS = 64  # a to z, the gap between words, and 37 classes of all other letters
@@ -120,7 +120,7 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", dim:
             yield pd.DataFrame({"lang": lang, "i": np.arange(dim), "v": total.astype(np.int64)})
 
     rows = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter("lang is not null and text is not null")
-    sums = rows.mapInPandas(work, "lang string, i int, v long").groupBy("lang", "i").agg(F.sum("v").alias("v"))
+    sums = rows.mapInPandas(lean(work), "lang string, i int, v long").groupBy("lang", "i").agg(F.sum("v").alias("v"))
     got = sums.toPandas()  # languages x dim numbers
     langs = sorted(got["lang"].unique())
     protos = np.zeros((len(langs), dim))
@@ -171,7 +171,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str
             yield part.assign(lang_pred=lang, score=s)
 
     schema = docs.select(*names).withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
-    return rows.mapInPandas(work, schema)
+    return rows.mapInPandas(lean(work), schema)
 
 
 def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 5, fold: int = 0) -> DataFrame:
