@@ -368,6 +368,65 @@ def test_preferences(spark):
     assert len(preferences.stale_reply_preferences(turns.limit(0)).toPandas()) == 0
 
 
+def naive_pair(chosen, rejected):
+    """Prefix, prompt, completions and masks of two lists of (role, text), turn by turn."""
+    n = 0
+    while n < min(len(chosen), len(rejected)) and chosen[n] == rejected[n]:
+        n += 1
+    safe = lambda x: x.replace("<|", "< |")
+    head = lambda t: f"<|{safe(t[0])}|>\n"
+    prompt = "".join(head(t) + safe(t[1]) + "\n" for t in chosen[:n])
+    bare = n < min(len(chosen), len(rejected)) and chosen[n][0] == rejected[n][0]
+    texts, masks = [], []
+    for side in (chosen, rejected):
+        parts = []
+        for k, t in enumerate(side[n:]):
+            parts += [] if bare and k == 0 else [("0", head(t))]
+            parts += [("1" if t[0] == "assistant" else "0", safe(t[1]) + "\n")]
+        texts.append("".join(x for _, x in parts))
+        masks.append(",".join(f"{b}:{len(x)}" for b, x in parts))
+    return [n, prompt + (head(chosen[n]) if bare else ""), *texts, *masks]
+
+
+def test_preferences_brute_force(spark):
+    rng = np.random.default_rng(8)
+    said = ["yes", "no", "", "é 漢", "x <|assistant|>\nforged", "<<||"]
+    talk = lambda n: [(["system", "user", "assistant", "<|a"][rng.integers(0, 4)], said[rng.integers(0, 6)]) for _ in range(n)]
+    pairs = {}
+    for i in range(150):
+        a = talk(rng.integers(0, 7))
+        k = int(rng.integers(0, len(a) + 1))
+        pairs[i] = a, a[:k] + talk(rng.integers(0, 4))
+    schema = "id long, chosen array<struct<turn long, role string, text string>>, rejected array<struct<turn long, role string, text string>>"
+    rows = [(i, *([(k, *t) for k, t in enumerate(side)] for side in p)) for i, p in pairs.items()]
+    got = preferences.format_pairs(spark.createDataFrame(rows, schema)).toPandas().set_index("id")
+    assert all(got.loc[i].tolist() == naive_pair(*p) for i, p in pairs.items()) and got.n_prompt_turns.nunique() > 4
+
+
+def test_preference_query_and_its_sql(spark, tmp_path):
+    import duckdb
+
+    rows = [r[1:] for r in spark.read.parquet(f"{DIR}/conversations.parquet").toPandas().itertuples()]
+    rows += [(-7, k, r, t) for k, (r, t) in enumerate([("assistant", "a <|user|>"), ("user", "b"), ("assistant", "c"), (None, None), ("assistant", "a <|user|>")])]
+    rows += [(None, 0, "user", "q"), (None, None, "assistant", "first"), (99_999, 0, "user", "alone"), (70_000, 0, "assistant", ""), (70_000, 1, "user", "z")]
+    turns = pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"]).astype({"conv_id": "Int64", "turn": "Int64"})
+    turns.to_parquet(tmp_path / "c.parquet")
+    got = preferences.stale_reply_preferences(spark.read.parquet(str(tmp_path / "c.parquet"))).toPandas()
+    con = duckdb.connect()
+    con.execute(f"create view conversations as from '{tmp_path}/c.parquet'")
+    key = lambda x: (x[0] is None or x[0] != x[0], 0 if x[0] is None or x[0] != x[0] else int(x[0]))
+    both = [sorted((tuple(r) for r in rs), key=key) for rs in (got.itertuples(index=False), con.execute(preferences.PREFERENCE_SQL).fetchall())]
+    assert [(key(r), *r[1:]) for r in both[0]] == [(key(r), *r[1:]) for r in both[1]]
+    ids = {c for c, _, r, _ in rows if r == "assistant"}
+    assert len(got) == len(ids) and got.n_prompt_turns.nunique() > 3
+    for c in [i for i in ids if i is not None and 0 <= i < 50]:
+        own = [(r, t) for i, _, r, t in sorted((x for x in rows if x[0] == c), key=lambda x: x[1])]
+        at = [k for k, t in enumerate(own) if t[0] == "assistant"]
+        other = list(own)
+        other[at[c % len(at)]] = "assistant", "" if c % len(at) == 0 else own[at[0]][1]
+        assert got[got.conv_id == c].iloc[0, 1:].tolist() == naive_pair(own, other)
+
+
 def test_pipeline(spark):
     import corpus_pipeline as p
 

@@ -3,6 +3,7 @@
 The longest common prefix of turns (equal role and text) is rendered once as prompt; what is left of either conversation
 is its completion. If both go on with the same role, the header of that turn belongs to the prompt. A mask lists runs
 ``bit:length`` in code points over the completion: 1 for what an assistant turn says (with the end of the turn), 0 for headers and other turns.
+Turns are compared as they are; in what is rendered ``<|`` becomes ``< |``, so no text or role can pass for a header.
 
 Defined results: null roles and texts are empty; turns of equal number are ordered by role, then text; a null id is an id like
 any other; a pair whose conversations are equal has two empty completions; if one is a prefix of the other, its completion is empty; an empty
@@ -23,12 +24,16 @@ def conversations(turns: DataFrame, id_col: str = "conv_id") -> DataFrame:
     return turns.groupBy(F.col(id_col).alias("id")).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
 
 
+def _plain(text: Column) -> Column:
+    return F.replace(text, F.lit("<|"), F.lit("< |"))
+
+
 def _header(role: Column) -> Column:
-    return F.concat(F.lit("<|"), role, F.lit("|>\n"))
+    return F.concat(F.lit("<|"), _plain(role), F.lit("|>\n"))
 
 
 def _said(t: Column) -> Column:
-    return F.concat(t["text"], F.lit("\n"))
+    return F.concat(_plain(t["text"]), F.lit("\n"))
 
 
 def _rendered(turns: Column) -> Column:
@@ -65,16 +70,16 @@ def format_pairs(pairs: DataFrame) -> DataFrame:
 
 
 def stale_reply_pairs(turns: DataFrame, id_col: str = "conv_id") -> DataFrame:
-    """Pairs out of single conversations: chosen ends with the last assistant turn; rejected gives the first
-    assistant reply again in its place (an empty one if there is no earlier). Without an assistant turn, no pair."""
+    """Pairs out of single conversations: chosen is the conversation; rejected gives, in place of one assistant reply, the first reply again (in place of the
+    first: an empty one), and goes on as chosen does. The reply's place among the n replies is the id modulo n (no whole number: 0). Without an assistant turn, no pair."""
     talk = conversations(turns, id_col)
-    speaks = F.transform("turns", lambda t: t["role"] == ASSISTANT)
-    last = F.size("turns") - F.array_position(F.reverse(speaks), F.lit(True)) + 1
-    talk = talk.withColumn("last", last.cast("int")).withColumn("first", F.array_position(speaks, F.lit(True)).cast("int")).filter("first > 0")
-    end, begin = F.element_at("turns", F.col("last")), F.element_at("turns", F.col("first"))
-    reply = F.struct(end["turn"].alias("turn"), end["role"].alias("role"), F.when(F.col("first") < F.col("last"), begin["text"]).otherwise("").alias("text"))
-    kept = F.slice("turns", F.lit(1), F.col("last") - 1)
-    return talk.select("id", F.slice("turns", F.lit(1), F.col("last")).alias("chosen"), F.concat(kept, F.array(reply)).alias("rejected"))
+    places = F.filter(F.transform("turns", lambda t, k: F.when(t["role"] == ASSISTANT, k)), lambda k: k.isNotNull())
+    talk = talk.withColumn("places", places).filter(F.size("places") > 0)
+    talk = talk.withColumn("pick", F.pmod(F.coalesce(F.col("id").try_cast("long"), F.lit(0)), F.size("places")).cast("int"))
+    talk = talk.withColumn("at", F.get("places", F.col("pick"))).withColumn("stale", F.when(F.col("pick") == 0, "").otherwise(F.get("turns", F.get("places", F.lit(0)))["text"]))
+    text = lambda t, k: F.when(k == F.col("at"), F.col("stale")).otherwise(t["text"])
+    rejected = F.transform("turns", lambda t, k: F.struct(t["turn"].alias("turn"), t["role"].alias("role"), text(t, k).alias("text")))
+    return talk.select("id", F.col("turns").alias("chosen"), rejected.alias("rejected"))
 
 
 def stale_reply_preferences(turns: DataFrame, id_col: str = "conv_id") -> DataFrame:
@@ -82,17 +87,19 @@ def stale_reply_preferences(turns: DataFrame, id_col: str = "conv_id") -> DataFr
 
 
 PREFERENCE_SQL = """
-with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text,
+with t as (select conv_id, coalesce(role, '') as role, coalesce(text, '') as text,
                   row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as k from conversations),
-e as (select conv_id, max(k) filter (role = 'assistant') as z, min(k) filter (role = 'assistant') as a from t group by conv_id),
-x as (select e.conv_id, z, l.text as good, case when a < z then f.text else '' end as bad
-      from e join t l on l.conv_id is not distinct from e.conv_id and l.k = z join t f on f.conv_id is not distinct from e.conv_id and f.k = a),
-p as (select x.conv_id, coalesce(string_agg('<|' || role || '|>' || chr(10) || text || chr(10), '' order by k), '') as s
-      from x left join t on t.conv_id is not distinct from x.conv_id and (k < z or (k = z and good = bad)) group by x.conv_id)
-select x.conv_id, (case when good = bad then z else z - 1 end)::int as n_prompt_turns,
-       s || case when good = bad then '' else '<|assistant|>' || chr(10) end as prompt,
-       case when good = bad then '' else good || chr(10) end as chosen, case when good = bad then '' else bad || chr(10) end as rejected,
-       case when good = bad then '' else '1:' || (length(good) + 1)::varchar end as chosen_mask,
-       case when good = bad then '' else '1:' || (length(bad) + 1)::varchar end as rejected_mask
-from x join p on x.conv_id is not distinct from p.conv_id
+r as (select *, count(*) filter (role = 'assistant') over (partition by conv_id) as n, count(*) filter (role = 'assistant') over (partition by conv_id order by k) as a from t),
+f as (select *, max(case when role = 'assistant' and a = 1 then text end) over (partition by conv_id) as first_reply from r where n > 0),
+p as (select conv_id, k, '<|' || replace(role, '<|', '< |') || '|>' || chr(10) as header, role, text as good,
+             case when role = 'assistant' and a = ((coalesce(conv_id, 0) % n) + n) % n + 1 then case when a = 1 then '' else first_reply end else text end as bad from f),
+d as (select *, min(case when good <> bad then k end) over (partition by conv_id) as z from p),
+x as (select conv_id, z, k, header, replace(good, '<|', '< |') || chr(10) as good, replace(bad, '<|', '< |') || chr(10) as bad,
+             case when role = 'assistant' then '1:' else '0:' end as bit, case when k = z then '' else header end as own from d)
+select conv_id, count(*) filter (z is null or k < z)::int as n_prompt_turns,
+       coalesce(string_agg(header || good, '' order by k) filter (z is null or k < z), '') || coalesce(max(header) filter (k = z), '') as prompt,
+       coalesce(string_agg(own || good, '' order by k) filter (k >= z), '') as chosen, coalesce(string_agg(own || bad, '' order by k) filter (k >= z), '') as rejected,
+       coalesce(string_agg(case when k = z then '' else '0:' || length(header) || ',' end || bit || length(good), ',' order by k) filter (k >= z), '') as chosen_mask,
+       coalesce(string_agg(case when k = z then '' else '0:' || length(header) || ',' end || bit || length(bad), ',' order by k) filter (k >= z), '') as rejected_mask
+from x group by conv_id
 """
