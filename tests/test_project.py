@@ -135,7 +135,7 @@ def test_sessions(spark):
     assert ids == [(1, 1), (1, 1), (1, 2), (1, 2), (2, 1)]
     assert session_rows(e, ["u"], "t", []).count() == 2
     got = session_summary(e, "u", "t", "c", "v").filter("u = 1").orderBy("session_id").collect()
-    assert [(r["session_dimension"], r["events_in_session"], float(r["session_revenue"])) for r in got] == [("US", 2, 3.0), ("CA", 2, 8.0)]
+    assert [(r["first_dimension"], r["n_rows"], float(r["total"])) for r in got] == [("US", 2, 3.0), ("CA", 2, 8.0)]
 
 
 def test_rules(spark):

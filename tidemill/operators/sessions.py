@@ -5,13 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemill.operators.buckets import bucket
 
-def sessionize(df: DataFrame, keys: list[str], time: str, gap: str = "30 minutes", name: str = "session_id") -> DataFrame:
-    """All rows with the number of their session within their key. Rows of equal time share a session."""
-    w = Window.partitionBy(*keys).orderBy(time)
-    before = F.lag(time).over(w)
-    begins = F.when(before.isNull() | (F.col(time) - before > F.expr(f"interval {gap}")), 1).otherwise(0)
-    return df.withColumn("__begins", begins).withColumn(name, F.sum("__begins").over(w).cast("bigint")).drop("__begins")
+
+def sessionize(df: DataFrame, keys: list[str], time: str, gap: str = "30 minutes", name: str = "session_id", days: int = 1) -> DataFrame:
+    """All rows with the number of their session within their key. Rows of equal time share a session; null keys are a key; each row without a time
+    begins a session, before all others.
+
+    Rows are shuffled by key and period of ``days`` days, so a key with many rows is many tasks. Only a row for each key and period
+    is ordered by key alone: it says whether the period's first row goes on with a session, and how many sessions came before."""
+    rows = df.withColumns({"__k": F.struct(*keys), "__b": bucket(df, time, days)})
+    numbered = _begins(rows, time, gap).withColumn("__n", F.sum("__begins").over(Window.partitionBy("__k", "__b").orderBy(time)))
+    period = _begins(rows.select("__k", "__b", time), time, gap).groupBy("__k", "__b").agg(F.min(time).alias("__low"), F.max(time).alias("__high"), F.sum("__begins").alias("__all"))
+    by_key = Window.partitionBy("__k").orderBy("__b")
+    last = F.lag("__high").over(by_key)
+    new = F.when(F.col("__low").isNotNull() & (last.isNull() | (F.col("__low") - last > F.expr(f"interval {gap}"))), 1).otherwise(0)
+    earlier = period.withColumn("__new", new).select("__k", "__b", (F.sum(F.col("__all") + F.col("__new")).over(by_key) - F.col("__all")).alias("__base"))
+    return numbered.join(earlier, ["__k", "__b"]).select(*df.columns, (F.col("__base") + F.col("__n")).cast("bigint").alias(name))
+
+
+def _begins(rows: DataFrame, time: str, gap: str) -> DataFrame:
+    """1 where a session begins within a period; the first row of a period has 0, unless it has no time."""
+    before = F.lag(time).over(Window.partitionBy("__k", "__b").orderBy(time))
+    return rows.withColumn("__begins", F.when(F.col(time).isNull() | (F.col(time) - before > F.expr(f"interval {gap}")), 1).otherwise(0))
 
 
 def session_rows(df: DataFrame, keys: list[str], time: str, aggregates: list, gap: str = "30 minutes") -> DataFrame:
@@ -27,9 +43,9 @@ def session_summary(events: DataFrame, user: str, time: str, dimension: str, val
     s = sessionize(events, [user], time, gap)
     return s.groupBy(user, "session_id").agg(
         F.min(time).alias("session_start"),
-        F.to_date(F.min(time)).alias("session_day"),
-        F.hour(F.min(time)).alias("session_hour"),
-        F.min_by(dimension, time).alias("session_dimension"),
-        F.count("*").alias("events_in_session"),
-        F.sum(F.col(value).cast("decimal(18,2)")).alias("session_revenue"),
+        F.to_date(F.min(time)).alias("opened_on"),
+        F.hour(F.min(time)).alias("opened_hour"),
+        F.min_by(dimension, time).alias("first_dimension"),
+        F.count("*").alias("n_rows"),
+        F.sum(F.col(value).cast("decimal(18,2)")).alias("total"),
     )

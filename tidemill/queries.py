@@ -43,7 +43,7 @@ select user_id, ts, event_type, value, cast(sum(begins) over (partition by user_
 from (select *, case when prev is null or ts - prev > interval '30' minute then 1 else 0 end as begins
       from (select *, lag(ts) over (partition by user_id order by ts) as prev from {events}) a) b"""
 SUMMARY = (
-    "select user_id, session_id, cast(min(ts) as date) as session_day, cast(extract(hour from min(ts)) as int) as session_hour, "
+    "select user_id, session_id, cast(min(ts) as date) as opened_on, cast(extract(hour from min(ts)) as int) as opened_hour, "
     "min_by(event_type, ts) as first_type, count(*) as n, sum(cast(value as decimal(18,2))) as revenue from (" + SESSIONS + ") s group by user_id, session_id"
 )
 
@@ -78,9 +78,9 @@ PORTABLE: dict[str, str] = {
     "avg_by_type": "select event_type, " + VALUE + " / count(value) as mean from {events} group by event_type",
     "min_max_stats": "select l_returnflag, min(l_quantity) as low, max(l_quantity) as high, count(l_tax) as n from {lineitem} group by l_returnflag",
     "sessionize_window": SESSIONS,
-    "daily_sessions_by_user": "select session_day, user_id, count(*) as sessions, cast(sum(n) as bigint) as events, cast(sum(revenue) as double) as revenue from (" + SUMMARY + ") x group by session_day, user_id",
+    "daily_sessions_by_user": "select opened_on, user_id, count(*) as sessions, cast(sum(n) as bigint) as events, cast(sum(revenue) as double) as revenue from (" + SUMMARY + ") x group by opened_on, user_id",
     "sessions_by_first_type": "select first_type, count(*) as sessions, cast(sum(n) as bigint) as events, cast(sum(revenue) as double) as revenue, cast(sum(revenue) as double) / count(*) as mean from (" + SUMMARY + ") x group by first_type",
-    "revenue_by_session_hour": "select session_hour, count(*) as sessions, cast(sum(revenue) as double) as revenue from (" + SUMMARY + ") x group by session_hour",
+    "revenue_by_session_hour": "select opened_hour, count(*) as sessions, cast(sum(revenue) as double) as revenue from (" + SUMMARY + ") x group by opened_hour",
     "four_dim_group_topk": "select user_id, event_type, cast(ts as date) as day, cast(extract(hour from ts) as int) as hour, count(*) as n, " + VALUE + " as total from {events} group by user_id, event_type, cast(ts as date), cast(extract(hour from ts) as int) order by n desc, user_id, event_type, day, hour limit 20",
     "dimension_split_union": "select 'user' as dimension, cast(user_id as string) as key, count(*) as n, " + VALUE + " as total from {events} group by user_id union all select 'type', event_type, count(*), " + VALUE + " from {events} group by event_type",
     "row_number_dedupe": "select user_id, event_id, ts from (select *, row_number() over (partition by user_id order by ts desc, event_id) as k from {events}) t where k = 1",
@@ -176,12 +176,12 @@ def _shared(name: str) -> Callable[[SparkSession, str], DataFrame]:
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         s = sessions.session_summary(table(spark, sf_dir, "events"), "user_id", "ts", "event_type", "value")
-        money = F.sum("session_revenue").cast("double")
+        money = F.sum("total").cast("double")
         if name == "daily_sessions_by_user":
-            return s.groupBy("session_day", "user_id").agg(F.count("*").alias("sessions"), F.sum("events_in_session").alias("events"), money.alias("revenue"))
+            return s.groupBy("opened_on", "user_id").agg(F.count("*").alias("sessions"), F.sum("n_rows").alias("events"), money.alias("revenue"))
         if name == "sessions_by_first_type":
-            return s.groupBy(F.col("session_dimension").alias("first_type")).agg(F.count("*").alias("sessions"), F.sum("events_in_session").alias("events"), money.alias("revenue"), (money / F.count("*")).alias("mean"))
-        return s.groupBy("session_hour").agg(F.count("*").alias("sessions"), money.alias("revenue"))
+            return s.groupBy(F.col("first_dimension").alias("first_type")).agg(F.count("*").alias("sessions"), F.sum("n_rows").alias("events"), money.alias("revenue"), (money / F.count("*")).alias("mean"))
+        return s.groupBy("opened_hour").agg(F.count("*").alias("sessions"), money.alias("revenue"))
 
     return query
 
