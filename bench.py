@@ -1,4 +1,5 @@
-"""Times the headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS] and prints one JSON line."""
+"""Times the headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS] and prints one JSON line; beside them, as a yardstick, the same rows by DuckDB on as many
+threads. Each is run once, so Spark's times hold planning and compilation."""
 
 import json
 import os
@@ -16,6 +17,25 @@ HEADLINE = (
 )
 
 
+def yardstick(sf_dir: str, cpus: str) -> dict[str, float]:
+    """Seconds that DuckDB takes for the queries' SQL (nothing where it isn't installed)."""
+    try:
+        import duckdb
+    except ModuleNotFoundError:
+        return {}
+    from tidemill.queries import TABLES, oracle_sql
+
+    known, times = oracle_sql(), {}
+    with duckdb.connect(config={"threads": int(cpus)}) as c:
+        for t in TABLES:
+            c.execute(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
+        for name in HEADLINE:
+            began = time.perf_counter()
+            c.execute(known[name]).fetchall()
+            times[name] = round(time.perf_counter() - began, 3)
+    return times
+
+
 def main() -> None:
     from pyspark.sql import SparkSession
 
@@ -39,7 +59,7 @@ def main() -> None:
         known[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - began, 3)
     spark.stop()
-    print(json.dumps({"metric": "headline_queries_total", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "sf": Path(sf_dir).name}))
+    print(json.dumps({"metric": "headline_queries_total", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "sf": Path(sf_dir).name, "duckdb": yardstick(sf_dir, cpus)}))
 
 
 if __name__ == "__main__":

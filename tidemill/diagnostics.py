@@ -31,7 +31,7 @@ def validate(project: Project, frame_of=None) -> list[Diagnostic]:
     broken = set()
     for name, r in project.undefined():
         broken.add(name)
-        out.append(_at("error", f"Undefined model reference: '{r.name}'", name, project.models[name].sql, r.name_start, r.name_end))
+        out.append(_at("error", f"'{r.name}' is neither a model nor a source", name, project.models[name].sql, r.name_start, r.name_end))
     if not out:
         try:
             project.levels()
