@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemill.operators.joins import asof_join, range_join
-from tidemill.operators.sessions import sessionize
+from tidemill.operators.sessions import session_summary, sessionize
 
 START = datetime(1969, 12, 28)
 
@@ -40,6 +40,16 @@ def test_sessions_across_periods(spark, kind, days):
     assert got == want
 
 
+@pytest.mark.parametrize("days", [1, 3])
+def test_summary_is_that_of_numbered_rows(spark, days):
+    rows = [(i, k, t, f"d{t}" if t else "x", i / 4) for i, k, t in moments(300, 5, "timestamp_ntz")]
+    e = spark.createDataFrame(rows, "i int, k int, t timestamp_ntz, d string, v double")
+    want = sessionize(e, ["k"], "t").groupBy("k", "session_id").agg(F.min("t"), F.to_date(F.min("t")), F.hour(F.min("t")), F.min_by("d", "t"), F.count("*"), F.sum(F.col("v").cast("decimal(18,2)")))
+    got = session_summary(e, "k", "t", "d", "v", days=days)
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, map(tuple, want.collect())))
+    assert got.schema["total"].dataType.simpleString() == "decimal(28,2)"
+
+
 @pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz", "date"])
 def test_asof_across_periods(spark, kind):
     left, right = moments(200, 2, kind), moments(60, 3, kind)

@@ -38,14 +38,30 @@ def session_rows(df: DataFrame, keys: list[str], time: str, aggregates: list, ga
     return ltz.groupBy(*keys, width.alias("__w")).agg(F.min(time).alias("session_start"), *aggregates).drop("__w")
 
 
-def session_summary(events: DataFrame, user: str, time: str, dimension: str, value: str, gap: str = "30 minutes") -> DataFrame:
-    """The aggregate that several session models share: one row for each user and session, with every dimension any of them needs."""
-    s = sessionize(events, [user], time, gap)
-    return s.groupBy(user, "session_id").agg(
-        F.min(time).alias("session_start"),
-        F.to_date(F.min(time)).alias("opened_on"),
-        F.hour(F.min(time)).alias("opened_hour"),
-        F.min_by(dimension, time).alias("first_dimension"),
-        F.count("*").alias("n_rows"),
-        F.sum(F.col(value).cast("decimal(18,2)")).alias("total"),
+def session_summary(events: DataFrame, user: str, time: str, dimension: str, value: str, gap: str = "30 minutes", days: int = 1) -> DataFrame:
+    """The aggregate that several session models share: one row for each user and session, with every dimension any of them needs. Sessions are those of
+    ``sessionize``, rows without a time one session.
+
+    The input is read once and shuffled by user and period of ``days`` days; each period's sessions are aggregated there, and only these pieces are ordered by user
+    alone. A user has at most as many as gaps and periods fit into the time, whatever the number of rows."""
+    rows = events.withColumns({"__k": F.col(user), "__b": bucket(events, time, days)})
+    numbered = _begins(rows, time, gap).withColumn("__n", F.sum("__begins").over(Window.partitionBy("__k", "__b").orderBy(time)))
+    pieces = numbered.groupBy("__k", "__b", "__n").agg(
+        F.min(time).alias("__low"),
+        F.max(time).alias("__high"),
+        F.min_by(dimension, time).alias("__first"),
+        F.count("*").alias("__rows"),
+        F.sum(F.col(value).cast("decimal(18,2)")).alias("__total"),
+    )
+    by_user = Window.partitionBy("__k").orderBy("__low")
+    last = F.lag("__high").over(by_user)
+    new = F.when(F.col("__low").isNull(), F.col("__rows")).when(last.isNull() | (F.col("__low") - last > F.expr(f"interval {gap}")), 1).otherwise(0)
+    joined = pieces.withColumn("__new", new).withColumn("session_id", F.sum("__new").over(by_user))
+    return joined.groupBy(F.col("__k").alias(user), "session_id").agg(
+        F.min("__low").alias("session_start"),
+        F.to_date(F.min("__low")).alias("opened_on"),
+        F.hour(F.min("__low")).alias("opened_hour"),
+        F.min_by("__first", "__low").alias("first_dimension"),
+        F.sum("__rows").alias("n_rows"),
+        F.sum("__total").cast("decimal(28,2)").alias("total"),
     )
