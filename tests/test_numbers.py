@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemill.plans import project as projects
-from tidemill.plans.dialect import rewrite
+from tidemill.plans.dialect import rewrite, statements
 from tidemill.runner import Runner
 
 #: (text, rows without their number k). Where the number is computed on, k is taken back to it.
@@ -13,6 +13,7 @@ SPREAD = {
     "columns": ("select a, row_number() over () as k, b from nt", [(i, i % 7) for i in range(700)]),
     "star": ("select *, ROW_NUMBER ( ) OVER ( ) k from nt as x where x.a % 2 = 0", [(i, i % 7) for i in range(0, 700, 2)]),
     "star_of": ("select x.* except (b), row_number() over () as k from nt x", [(i,) for i in range(700)]),
+    "star_of_a_struct": ("select s.*, row_number() over () as k from (select struct(a, b) as s from nt) x", [(i, i % 7) for i in range(700)]),
     "computed": ("select a, (cast(row_number() over () as bigint) - 1 + 1) as k, a + row_number() over () - row_number() over () as same from nt", [(i, i) for i in range(700)]),
     "derived": ("select k, a from (select a, row_number() over () as k from (select a from nt where b = 1) t order by a) u", [(i,) for i in range(1, 700, 7)]),
     "twice": ("select a, k from (select row_number() over () as k, a, j from (select a, row_number() over () as j from nt) t) u where j > 0", [(i,) for i in range(700)]),
@@ -97,6 +98,33 @@ def test_numbers_in_views_and_tables(nt):
     nt.catalog.dropTempView("numbered")
 
 
+def test_numbers_read_by_subqueries(nt):
+    nt.sql(rewrite("select a, row_number() over () as k from nt")).createOrReplaceTempView("numbered")
+    for text, want in (
+        ("select count(*) from nt where exists (select 1 from numbered n where n.k = nt.a)", 699),
+        ("select count(*) from nt where a in (select k from numbered)", 699),
+        ("select max(b) from (select a - (select count(*) from numbered) as b from nt) t", -1),
+        ("select sum(b) from (select (select max(k) from numbered n where n.a = nt.a) as b from nt) t", 245350),
+        ("select max(a) - (select count(*) from numbered) from nt where a < (select max(k) - 1 from numbered)", -2),
+        ("select count(*) from numbered x join numbered y on x.k = y.k + 1", 699),
+        ("select count(distinct k) from (select k from numbered limit 10) t", 10),
+    ):
+        assert nt.sql(text).first()[0] == want, text
+    nt.catalog.dropTempView("numbered")
+
+
+def test_numbers_written_by_statements(nt):
+    """Tables made and filled by SQL, from rows that are others each time they are read."""
+    text = "select a, row_number() over () as k from (select a from nt where rand() < 0.5) t"
+    nt.sql("drop table if exists numbers_made")
+    for sql in statements(f"create table numbers_made as {text}; insert into numbers_made {text.replace('a,', 'a + 1000,', 1)}"):
+        nt.sql(sql)
+    for low in (0, 1000):
+        got = sorted(r["k"] for r in nt.table("numbers_made").where(f"a >= {low} and a < {low} + 1000").collect())
+        assert got == list(range(1, len(got) + 1)) and 200 < len(got) < 500
+    nt.sql("drop table numbers_made")
+
+
 def test_models_that_share_numbers(nt, tmp_path):
     """Subplans that tables of one level share are kept; those of numbers too."""
     nt.sql("create schema if not exists numbers")
